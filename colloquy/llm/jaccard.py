@@ -4,18 +4,19 @@ Sets are the distinct word shingles of a text, hashed to 64 bits.  Texts with th
 a node's answers are computed once and hold for all its copies.  The steps, none of which drops a pair:
 
 1. One pass over the texts gives every document its node, and every node its size, its smallest document
-   and a parity bitmap.  It also counts all shingles of the corpus in a table of fixed size, by hash; the
-   counts give every shingle a level, so that frequent ones come last in the order used below.
+   and a parity bitmap.  It also counts the shingles that can come near an index prefix; the counts, in a
+   table of fixed size by hash, give every shingle a level, so that frequent ones come last in the order
+   used below.  (Any order common to all sets is exact; shingles whose cells collide share a level.)
 2. A second pass indexes each node's prefix in that order (sets that reach the threshold share a prefix
    shingle).  Rare shingles travel as packed blocks, and the lists of a block are built by a numeric sort; a
    list with one node is dropped there.  Frequent ones travel as rows.
-3. Each list, sorted by size, is first joined only between neighbours.  A candidate must pass the block of
+3. Each list is first joined only between neighbours, by size and in a few hashed orders.  A candidate must pass the block of
    sizes that can reach the threshold, the bound from its positions, and the bitmap bound (the parity
    bitmaps' Hamming distance is at most the symmetric difference), and is then verified on the whole sets.
-   Links make components.
+   Links make components, and a second round compares neighbours of different components.
 4. A set highly similar to computed ones inherits their answers: pairs inside a component are skipped, and
    whole lists whose nodes are all of one component.  What is left in a list, pairs of different components,
-   is verified likewise, in a second and last round.
+   is verified likewise, in a last round.
 
 Defined results: null, empty and blank texts have no shingle, n_shingles 0, and are their own component;
 texts of fewer words than a shingle have one; ties and repeated rows link as equal sets do; null ids form
@@ -25,7 +26,6 @@ rows with their own id null; an empty table gives none.  Long texts are shingled
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +37,19 @@ from pyspark.sql.window import Window
 from colloquy.llm.common import written
 
 SHINGLE, PERCENT = 5, 75
-#: Cells of the count table, as a power of two; it is what is broadcast, two cells a byte.
-CELLS = 22
-CHUNK = 16
-BITMAP = 1024
+#: Cells of the level table, as a power of two; it is what is broadcast, two cells a byte.
+CELLS = 25
+#: A shingle is frequent, and comes later in the order, from so many sets on.
+FREQUENT = 24
+#: Bits of the smallest parity bitmap; larger sets have as many bits as shingles, rounded up to a power of two.
+BITMAP = 512
 SEEN = 1 << 25
+#: Hashed orders in which neighbours of an index list are compared in the first round.
+ORDERS = 3
+#: Rounds of neighbours before all pairs of different components.
+ROUNDS = 2
+#: Edges that one task contracts.
+EDGES = 250_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -91,63 +99,91 @@ def node_of(grams: np.ndarray) -> int:
 
 
 def _parity(grams: np.ndarray) -> bytes:
-    return np.packbits((np.bincount((grams >> np.uint64(20)).astype(np.int64) % BITMAP, minlength=BITMAP) & 1).astype(np.uint8)).tobytes()
+    width = max(BITMAP, 1 << int(len(grams) - 1).bit_length())
+    places = (grams >> np.uint64(20)).astype(np.int64) & (width - 1)
+    return np.packbits((np.bincount(places, minlength=width) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def _survey(docs: DataFrame, shingle: int) -> DataFrame:
-    """Rows of two kinds: documents with their nodes, and parts of the count table of each task."""
+def _apart(x: bytes, y: bytes) -> int:
+    """Hamming distance of two parity bitmaps; the wider one is folded, as places are hashes modulo the width."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells = np.zeros(1 << CELLS, np.uint32)
+
+def _prefix(size: int, percent: int) -> int:
+    return size - (-(-percent * size // 100)) + 1
+
+
+def _cells(grams: np.ndarray) -> np.ndarray:
+    return (_mix(grams) >> np.uint64(64 - CELLS)).astype(np.int64)
+
+
+def _survey(docs: DataFrame, shingle: int, percent: int, parts: int) -> DataFrame:
+    """Rows of two kinds: documents with their nodes, and parts of the level table."""
+    ranges = 1 << max(0, int(parts - 1).bit_length())
+    width = (1 << CELLS) // ranges
+    columns = ["bucket", "no_k", "k", "node", "size", "bitmap", "counts"]
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out, pending, known = [], [], {}
             for k, t in zip(batch["k"], batch["t"]):
-                got = known.get(t) if t is not None else (None, 0, None)
+                got = known.get(t)
                 if got is None:
                     grams = shingles(t, shingle)
-                    pending.append(grams)
-                    got = known[t] = (node_of(grams), len(grams), _parity(grams)) if len(grams) else (None, 0, None)
-                out.append((k, *got))
-            if pending:
-                cells += np.bincount((np.concatenate(pending) >> np.uint64(64 - CELLS)).astype(np.int64), minlength=1 << CELLS).astype(np.uint32)
-            frame = pd.DataFrame(out, columns=["k", "node", "size", "bitmap"])
-            yield frame.astype({"node": "Int64"}).assign(chunk=pd.Series([None] * len(frame), dtype="Int32"), counts=None)[["k", "node", "size", "bitmap", "chunk", "counts"]]
-        if not cells.any():
-            return
-        parts = cells.reshape(-1, 1 << CHUNK)
-        small = [p.astype("<u2") if p.max() < 1 << 16 else p.astype("<u4") for p in parts]
-        n = len(parts)
-        yield pd.DataFrame({"k": pd.Series([None] * n, dtype="Int64"), "node": pd.Series([None] * n, dtype="Int64"), "size": np.zeros(n, np.int64), "bitmap": [None] * n, "chunk": pd.Series(range(n), dtype="Int32"), "counts": [p.tobytes() for p in small]})
-
-    rows = docs.select("k", "t")
-    return written(rows.mapInPandas(run, "k long, node long, size long, bitmap binary, chunk int, counts binary"))
+                    got = known[t] = (node_of(grams), len(grams), _parity(grams)) if len(grams) else (0, 0, None)
+                    # In hash order, a prefix and a quarter of it more.
+                    pending.append(grams[: _prefix(len(grams), percent) * 5 // 4])
+                out.append((len(out) % ranges, k is None, 0 if k is None else int(k), *got, None))
+            # No nulls among the numbers: pandas would turn them to doubles.
+            yield pd.DataFrame(out, columns=columns)
+            grams = np.concatenate(pending)
+            if len(grams):
+                mixed = np.sort(_mix(grams))
+                cuts = np.searchsorted((mixed >> np.uint64(64 - CELLS)).astype(np.int64), np.arange(ranges + 1) * width)
+                low = mixed.view(np.uint8).reshape(-1, 8)[:, 3:]  # the upper five of eight bytes
+                rows = [(b, True, 0, 0, 0, None, low[cuts[b] : cuts[b + 1]].tobytes()) for b in range(ranges) if cuts[b] < cuts[b + 1]]
+                yield pd.DataFrame(rows, columns=columns)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[bytes]] = {}
+        for batch in batches:
+            plain = batch["counts"].isna()
+            if plain.any():
+                yield batch[plain]
+            for b, raw in zip(batch.loc[~plain, "bucket"], batch.loc[~plain, "counts"]):
+                held.setdefault(b, []).append(raw)
+        for b, raws in held.items():
+            padded = np.zeros((sum(map(len, raws)) // 5, 8), np.uint8)
+            padded[:, 3:] = np.frombuffer(b"".join(raws), np.uint8).reshape(-1, 5)
+            value, n = np.unique(padded.view(np.uint64).ravel(), return_counts=True)
+            often = n > FREQUENT
+            level = np.zeros(width, np.uint8)
+            at = (value[often] >> np.uint64(64 - CELLS)).astype(np.int64) - b * width
+            np.maximum.at(level, at, np.minimum(15, np.log2(n[often] / FREQUENT).astype(np.uint8) + 1))
+            packed = ((level[0::2] << 4) | level[1::2]).tobytes()
+            yield pd.DataFrame([(b, True, 0, 0, 0, None, packed)], columns=columns)
+
+    form = "bucket int, no_k boolean, k long, node long, size long, bitmap binary, counts binary"
+    rows = docs.select(F.col("k").cast("string").alias("k"), "t")
+    return written(rows.mapInPandas(emit, form).repartition(parts, "bucket").mapInPandas(count, form))
 
 
 def _levels(survey: DataFrame) -> np.ndarray:
-    """The level of each cell of the count table, 0 for what chance alone makes, two a byte.  2 ** CELLS cells, whatever the input."""
-    cell = 1 << CHUNK
-
-    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        for frame in frames:
-            for chunk, raw in zip(frame["chunk"], frame["counts"]):
-                got = np.frombuffer(raw, "<u2" if len(raw) == 2 * cell else "<u4").astype(np.uint64)
-                sums[chunk] = sums[chunk] + got if chunk in sums else got
-        yield pd.DataFrame({"chunk": list(sums), "counts": [s.astype("<u8").tobytes() for s in sums.values()]})
-
-    parts = survey.where("chunk is not null").select("chunk", "counts")
-    means = np.zeros(1 << CELLS, np.uint64)
-    for chunk, raw in parts.repartition("chunk").mapInPandas(add, "chunk int, counts binary").toLocalIterator():
-        means[chunk * cell : (chunk + 1) * cell] = np.frombuffer(raw, "<u8")
-    usual = float(np.median(means)) if len(means) else 0.0
-    limit = usual + 6 * math.sqrt(usual) + 8
-    level = np.clip(np.floor(np.log2(np.maximum(means / limit, 0.5))) + 1, 0, 15).astype(np.uint8)
-    return (level[0::2] << 4) | level[1::2]
+    """The level table, two cells a byte: 2 ** (CELLS - 1) bytes in all, whatever the input."""
+    packed = np.zeros(1 << (CELLS - 1), np.uint8)
+    for b, raw in survey.where("counts is not null").select("bucket", "counts").toLocalIterator():
+        packed[b * len(raw) : (b + 1) * len(raw)] = np.frombuffer(raw, np.uint8)
+    return packed
 
 
 def _ordered(grams: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shingles in the global order, frequent ones last, and their levels."""
-    at = (grams >> np.uint64(64 - CELLS)).astype(np.int64)
+    at = _cells(grams)
     both = packed[at >> 1]
     level = np.where(at & 1, both & 15, both >> 4)
     order = np.lexsort((grams, level))
@@ -167,7 +203,7 @@ def _index(docs: DataFrame, packed: np.ndarray, shingle: int, percent: int, part
                     continue
                 seen.add(node)
                 s = len(grams)
-                p = s - (-(-percent * s // 100)) + 1
+                p = _prefix(s, percent)
                 ordered, level = _ordered(grams, shared.value)
                 nodes.append(node)
                 sizes.append(s)
@@ -243,8 +279,7 @@ def _could_reach(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         for f in batches:
             if not len(f):
                 continue
-            x = np.frombuffer(b"".join(f["a_bitmap"]), np.uint64) ^ np.frombuffer(b"".join(f["b_bitmap"]), np.uint64)
-            apart = np.bitwise_count(x).reshape(len(f), -1).sum(axis=1).astype(np.int64)
+            apart = np.array([_apart(x, y) for x, y in zip(f["a_bitmap"], f["b_bitmap"])], np.int64)
             both = (f["a_size"] + f["b_size"]).to_numpy()
             yield f.loc[(100 + percent) * (both - apart) >= 2 * percent * both, ["a", "b"]]
 
@@ -255,7 +290,9 @@ def _could_reach(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs that link, by the whole sets of both, which are shingled again from the nodes' smallest documents."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep"), "node")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    needed = nodes.select("node", "rep").join(ends, "node", "left_semi")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def flags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = np.zeros(SEEN, bool)
@@ -263,7 +300,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, p
             found[_slot(f["rep"].to_numpy(np.int64))] = True
         yield pd.DataFrame({"part": [0], "bits": [np.packbits(found).tobytes()]}) if found.any() else pd.DataFrame({"part": [], "bits": []})
 
-    # A filter of fixed size (SEEN bits) over the wanted documents; what it lets through besides is dropped by the join.
+    # A filter of fixed size (SEEN bits) over the wanted documents; what else it lets through meets no pair.
     bits = np.zeros(SEEN // 8, np.uint8)
     for _, raw in needed.select("rep").coalesce(8).mapInPandas(flags, "part int, bits binary").toLocalIterator():
         bits |= np.frombuffer(raw, np.uint8)
@@ -271,14 +308,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, p
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
-            f = f[f["k"].notna() & f["t"].notna()]
             slot = _slot(f["k"].to_numpy(np.int64))
             f = f[((shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)]
             grams = [shingles(t, shingle) for t in f["t"]]
-            yield pd.DataFrame({"rep": f["k"].to_numpy(np.int64), "node": np.array([node_of(g) for g in grams], np.int64), "grams": [g.tobytes() for g in grams]})
+            yield pd.DataFrame({"node": np.array([node_of(g) for g in grams], np.int64), "grams": [g.tobytes() for g in grams]})
 
-    found = docs.mapInPandas(sets, "rep long, node long, grams binary").join(needed, ["rep", "node"]).dropDuplicates(["node"]).select("node", "grams")
-    found = written(found)
+    found = docs.where("k is not null and t is not null").mapInPandas(sets, "node long, grams binary").repartition(parts, "node")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
@@ -303,8 +338,8 @@ def _slot(ids: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of the undirected ``a, b`` edges; the root is the smallest node of its component.
 
-    Rounds of partition-local union-find, dealt out by the larger and then by the smaller end, until no edge
-    changes.  Each task holds its share of the edges.
+    Rounds of partition-local union-find, dealt out by the smaller and then by the larger end, until no edge
+    changes.  A task holds about EDGES edges; what fits into one task is contracted there at once.
     """
 
     def contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -332,8 +367,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
-        by_low = edges.repartition("b").mapInPandas(contract, "a long, b long")
-        edges = written(by_low.distinct().repartition("a").mapInPandas(contract, "a long, b long").distinct())
+        parts = -(-edges.count() // EDGES)
+        if parts <= 1:  # one task's share: contracted at once
+            edges = written(edges.coalesce(1).mapInPandas(contract, "a long, b long"))
+            break
+        by_low = edges.repartition(parts, "b").mapInPandas(contract, "a long, b long")
+        edges = written(by_low.distinct().repartition(parts, "a").mapInPandas(contract, "a long, b long").distinct())
         # Done when every node has one parent, and parents have none.
         twice = edges.groupBy("a").count().where("count > 1").select("a")
         deep = edges.select(F.col("b").alias("a")).distinct().join(edges.select("a").distinct(), "a", "left_semi")
@@ -346,22 +385,32 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     """One row per document: ``doc_id, node, n_shingles, component_id``; ``node`` is the class of equal sets."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
-    survey = _survey(docs, shingle)
-    members = survey.where("chunk is null").select("k", "node", "size")
-    nodes = written(survey.where("node is not null").groupBy("node").agg(F.min("k").alias("rep"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap")))
+    survey = _survey(docs, shingle, percent, parts)
+    members = survey.where("counts is null").select(F.expr("if(no_k, null, k)").alias("k"), F.expr("if(size = 0, null, node)").alias("node"), "size")
+    nodes = written(survey.where("size > 0").withColumn("k", F.expr("if(no_k, null, k)")).groupBy("node").agg(F.min("k").alias("rep"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap")))
     lists = _index(docs, _levels(survey), shingle, percent, parts)
 
-    in_list = Window.partitionBy("token").orderBy("size", "node")
     flat = [F.col(f"{s}.{c}").alias(f"{s}_{c}" if c != "node" else s) for s in "ab" for c in ("node", "size", "pos")]
-    near = lists.select(F.struct("node", "size", "pos").alias("a"), F.lead(F.struct("node", "size", "pos")).over(in_list).alias("b")).where("b is not null").select(*flat)
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    first = near.where("a <> b").where(_fits(percent)).select(*ordered).distinct()
-    links = written(_verify(written(_could_reach(first, nodes, percent)), docs, nodes, shingle, percent))
-    roots = written(components(links))
+    tried = links = None
+    open_lists = lists.select("token", F.struct("node", "size", "pos").alias("x"), F.col("node").alias("c"))
+    for turn in range(ROUNDS):
+        # Neighbours by size, and in a few hashed orders, so that a group of similar sets is joined by many short ways.
+        orders = [("x.size", "x.node"), *((F.xxhash64("x.node", F.lit(k)), "x.node") for k in range(turn * ORDERS, (turn + 1) * ORDERS))]
+        ahead = [F.lead(F.struct("x", "c")).over(Window.partitionBy("token").orderBy(*by)).alias(f"b{k}") for k, by in enumerate(orders[bool(turn) :])]
+        near = open_lists.select(F.col("x").alias("a"), "c", *ahead)
+        near = near.select("a", "c", F.explode(F.array_distinct(F.array(*[c for c in near.columns if c[0] == "b"]))).alias("b"))
+        near = near.where("b is not null and b.c <> c").select("a", F.col("b.x").alias("b")).select(*flat).where(_fits(percent)).select(*ordered).distinct()
+        near = near if tried is None else near.join(tried, ["a", "b"], "left_anti")
+        could = written(_could_reach(near, nodes, percent))
+        found = written(_verify(could, docs, nodes, shingle, percent))
+        tried, links = (could, found) if tried is None else (tried.union(could), links.union(found))
+        roots = written(components(links))
+        # Lists whose nodes are all of one component are skipped from now on.
+        labelled = open_lists.join(roots.withColumnRenamed("node", "n"), F.col("x.node") == F.col("n"), "left").select("token", "x", F.coalesce("root", "x.node").alias("c"))
+        spread = labelled.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
+        open_lists = written(labelled.join(spread, "token", "left_semi"))
 
-    labelled = lists.join(roots, "node", "left").select("token", F.struct("node", "size", "pos").alias("x"), F.coalesce("root", "node").alias("c"))
-    spread = labelled.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
-    open_lists = written(labelled.join(spread, "token", "left_semi"))
     left = open_lists.select("token", F.col("x").alias("a"), F.col("c").alias("a_c"))
     right = open_lists.select("token", F.col("x").alias("b"), F.col("c").alias("b_c"))
     fits = _fits(percent)
@@ -369,7 +418,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
         for c in ("size", "pos"):
             fits = fits.replace(f"{s}_{c}", f"{s}.{c}")
     rest = left.join(right, (left["token"] == right["token"]) & F.expr("a_c <> b_c and a.node < b.node") & F.expr(fits)).select(*flat).select("a", "b").distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti")
+    rest = rest.join(tried, ["a", "b"], "left_anti")
     more = _verify(written(_could_reach(rest, nodes, percent)), docs, nodes, shingle, percent)
     roots = written(components(links.union(more)))
 
