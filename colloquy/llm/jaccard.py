@@ -114,6 +114,14 @@ def _apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def _folded(x: bytes) -> tuple[int, ...]:
+    """A parity bitmap folded to 256 bits, as four longs that SQL can compare."""
+    a = np.frombuffer(x, np.uint64)
+    while len(a) > 4:
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return tuple(a.view(np.int64).tolist())
+
+
 def _prefix(size: int, percent: int) -> int:
     return size - (-(-percent * size // 100)) + 1
 
@@ -126,7 +134,7 @@ def _survey(docs: DataFrame, shingle: int, percent: int, parts: int) -> DataFram
     """Rows of two kinds: documents with their nodes, and parts of the level table."""
     ranges = 1 << max(0, int(parts - 1).bit_length())
     width = (1 << CELLS) // ranges
-    columns = ["bucket", "no_k", "k", "node", "size", "bitmap", "counts"]
+    columns = ["bucket", "no_k", "k", "node", "size", "s0", "s1", "s2", "s3", "bitmap", "counts"]
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -135,7 +143,7 @@ def _survey(docs: DataFrame, shingle: int, percent: int, parts: int) -> DataFram
                 got = known.get(t)
                 if got is None:
                     grams = shingles(t, shingle)
-                    got = known[t] = (node_of(grams), len(grams), _parity(grams)) if len(grams) else (0, 0, None)
+                    got = known[t] = (node_of(grams), len(grams), *_folded(bits := _parity(grams)), bits) if len(grams) else (0, 0, 0, 0, 0, 0, None)
                     # In hash order, a prefix and a quarter of it more.
                     pending.append(grams[: _prefix(len(grams), percent) * 5 // 4])
                 out.append((len(out) % ranges, k is None, 0 if k is None else int(k), *got, None))
@@ -146,7 +154,7 @@ def _survey(docs: DataFrame, shingle: int, percent: int, parts: int) -> DataFram
                 mixed = np.sort(_mix(grams))
                 cuts = np.searchsorted((mixed >> np.uint64(64 - CELLS)).astype(np.int64), np.arange(ranges + 1) * width)
                 low = mixed.view(np.uint8).reshape(-1, 8)[:, 3:]  # the upper five of eight bytes
-                rows = [(b, True, 0, 0, 0, None, low[cuts[b] : cuts[b + 1]].tobytes()) for b in range(ranges) if cuts[b] < cuts[b + 1]]
+                rows = [(b, True, 0, 0, 0, 0, 0, 0, 0, None, low[cuts[b] : cuts[b + 1]].tobytes()) for b in range(ranges) if cuts[b] < cuts[b + 1]]
                 yield pd.DataFrame(rows, columns=columns)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,9 +174,9 @@ def _survey(docs: DataFrame, shingle: int, percent: int, parts: int) -> DataFram
             at = (value[often] >> np.uint64(64 - CELLS)).astype(np.int64) - b * width
             np.maximum.at(level, at, np.minimum(15, np.log2(n[often] / FREQUENT).astype(np.uint8) + 1))
             packed = ((level[0::2] << 4) | level[1::2]).tobytes()
-            yield pd.DataFrame([(b, True, 0, 0, 0, None, packed)], columns=columns)
+            yield pd.DataFrame([(b, True, 0, 0, 0, 0, 0, 0, 0, None, packed)], columns=columns)
 
-    form = "bucket int, no_k boolean, k long, node long, size long, bitmap binary, counts binary"
+    form = "bucket int, no_k boolean, k long, node long, size long, s0 long, s1 long, s2 long, s3 long, bitmap binary, counts binary"
     rows = docs.select(F.col("k").cast("string").alias("k"), "t")
     return written(rows.mapInPandas(emit, form).repartition(parts, "bucket").mapInPandas(count, form))
 
@@ -387,7 +395,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     docs = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
     survey = _survey(docs, shingle, percent, parts)
     members = survey.where("counts is null").select(F.expr("if(no_k, null, k)").alias("k"), F.expr("if(size = 0, null, node)").alias("node"), "size")
-    nodes = written(survey.where("size > 0").withColumn("k", F.expr("if(no_k, null, k)")).groupBy("node").agg(F.min("k").alias("rep"), F.first("size").alias("size"), F.first("bitmap").alias("bitmap")))
+    nodes = written(survey.where("size > 0").withColumn("k", F.expr("if(no_k, null, k)")).groupBy("node").agg(F.min("k").alias("rep"), *[F.first(c).alias(c) for c in ("size", "s0", "s1", "s2", "s3", "bitmap")]))
     lists = _index(docs, _levels(survey), shingle, percent, parts)
 
     flat = [F.col(f"{s}.{c}").alias(f"{s}_{c}" if c != "node" else s) for s in "ab" for c in ("node", "size", "pos")]
@@ -411,12 +419,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
         spread = labelled.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
         open_lists = written(labelled.join(spread, "token", "left_semi"))
 
+    # The folded bitmaps' bound is part of the join, so that pairs which cannot link are never made.
+    bits = [f"s{k}" for k in range(4)]
+    signed = open_lists.join(nodes.select(F.col("node").alias("n"), F.struct(*bits).alias("s")), F.col("x.node") == F.col("n"))
+    open_lists = signed.select("token", F.col("x").withField("s", F.col("s")).alias("x"), "c")
     left = open_lists.select("token", F.col("x").alias("a"), F.col("c").alias("a_c"))
     right = open_lists.select("token", F.col("x").alias("b"), F.col("c").alias("b_c"))
     fits = _fits(percent)
     for s in "ab":
         for c in ("size", "pos"):
             fits = fits.replace(f"{s}_{c}", f"{s}.{c}")
+    apart = " + ".join(f"bit_count(a.s.{c} ^ b.s.{c})" for c in bits)
+    fits += f" and {100 + percent} * (a.size + b.size - ({apart})) >= {2 * percent} * (a.size + b.size)"
     rest = left.join(right, (left["token"] == right["token"]) & F.expr("a_c <> b_c and a.node < b.node") & F.expr(fits)).select(*flat).select("a", "b").distinct()
     rest = rest.join(tried, ["a", "b"], "left_anti")
     more = _verify(written(_could_reach(rest, nodes, percent)), docs, nodes, shingle, percent)
