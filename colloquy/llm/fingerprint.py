@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 EXACT, LIKE = 8, 128
-MEMO = 500_000
+MEMO = 200_000
 _signs: np.ndarray | None = None
 _memo: dict[str, int] = {}
 

@@ -44,7 +44,7 @@ def _features(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     words = (text or "").split()
     if not words:
         return np.array([(1 << BITS) + DENSE]), np.ones(1, np.float32), 0
-    if len(_memo) > 500_000:
+    if len(_memo) > 200_000:
         _memo.clear()
     ids = []
     for w in words:

@@ -36,7 +36,7 @@ STEM = (4, 8)
 #: Letters that a term needs for a misspelling to count.
 FUZZY_FROM = 5
 WINDOW = 6
-MEMO = 400_000
+MEMO = 150_000
 WORD = re.compile(r"[^\W_]+(?:[@$!*'’][^\W_]+)*")
 QUOTES = "\"“”„«»‘"
 REPORTING = frozenset("said says wrote quoted called cited reported quote word term dit écrit sagte schrieb dijo escribió".split())
