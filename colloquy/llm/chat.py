@@ -142,6 +142,7 @@ def digests(formatted: DataFrame) -> DataFrame:
                 if last:
                     out.append((None if pd.isna(c) else int(c), n, turns.hexdigest(), n_loss, loss.hexdigest(), chars))
                     turns, loss, n, n_loss, chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
-            yield _frame(out, DIGEST)
+            if out:
+                yield _frame(out, DIGEST)
 
     return formatted.mapInPandas(run, DIGEST)

@@ -162,6 +162,8 @@ def fingerprints_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "t
                 if held is not None:
                     out.append(close(t))
                 held = None if foreign else (None if pd.isna(k) else int(k), t)
+            if not out:
+                continue
             frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
             yield frame.astype({"doc_id": "Int64"})
 

@@ -8,8 +8,8 @@ are concatenated, suffixes are sorted by prefix doubling to RUN tokens, and subs
 occur on PAGES distinct pages or more are marked; blocks covered by marks are boilerplate, and the unique
 runs are the main text.  Pages with the same stream count as one page, so a copied page is not boilerplate.
 
-Hosts are dealt out by name, those with more than a thousandth of all pages by name and salt, and streamed
-in groups of at most GROUP pages, which bounds memory for any host.
+Hosts are dealt out by name, those with more than GROUP pages and a thousandth of all by name and salt, and
+streamed in groups of at most GROUP pages, which bounds memory for any host.
 
 Defined results: null or empty html gives the empty text; a null url is a host of its own; character
 references are decoded; white space inside a block is one blank; blocks are joined by two line feeds.
@@ -175,8 +175,9 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"), host.alias("host"))
     n = rows.count()
-    # Fewer than SHARE hosts have more than this share; they are salted into as many parts.
-    hot = {r["host"]: -(-r["n"] * SHARE // n) for r in rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") * SHARE > n).collect()} if n else {}
+    # Fewer than SHARE hosts have more pages than this; they are salted into parts of about as many.
+    most = max(GROUP, n // SHARE + 1)
+    hot = {r["host"]: -(-r["n"] // most) for r in rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()}
     parts = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair]) if hot else None
     salt = F.coalesce(F.pmod(F.xxhash64("page_id"), F.try_element_at(parts, "host")), F.lit(0)) if hot else F.lit(0).cast("long")
     kind = pages.schema[key].dataType.simpleString()

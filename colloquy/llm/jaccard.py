@@ -226,7 +226,8 @@ def _index(docs: DataFrame, packed: np.ndarray, shingle: int, percent: int, part
             node, size = np.array(nodes, np.int64), np.array(sizes, np.int32)
             bucket = ((token >> np.uint64(8)) % np.uint64(parts)).astype(np.int32)
             often = ~is_rare
-            yield pd.DataFrame({"bucket": bucket[often], "block": None, "token": token[often].view(np.int64), "node": node[owner[often]], "size": size[owner[often]], "pos": pos[often]})
+            if often.any():
+                yield pd.DataFrame({"bucket": bucket[often], "block": None, "token": token[often].view(np.int64), "node": node[owner[often]], "size": size[owner[often]], "pos": pos[often]})
             order = np.argsort(bucket, kind="stable")
             order = order[is_rare[order]]
             cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
@@ -237,7 +238,8 @@ def _index(docs: DataFrame, packed: np.ndarray, shingle: int, percent: int, part
                     blocks.append(np.array([len(at)], "<i8").tobytes() + token[at].tobytes() + node[owner[at]].tobytes() + size[owner[at]].tobytes() + pos[at].tobytes())
                     of.append(b)
             zero = np.zeros(len(of), np.int64)
-            yield pd.DataFrame({"bucket": np.array(of, np.int32), "block": blocks, "token": zero, "node": zero, "size": zero.astype(np.int32), "pos": zero.astype(np.int32)})
+            if of:
+                yield pd.DataFrame({"bucket": np.array(of, np.int32), "block": blocks, "token": zero, "node": zero, "size": zero.astype(np.int32), "pos": zero.astype(np.int32)})
 
     def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[bytes] = []
@@ -306,7 +308,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, p
         found = np.zeros(SEEN, bool)
         for f in batches:
             found[_slot(f["rep"].to_numpy(np.int64))] = True
-        yield pd.DataFrame({"part": [0], "bits": [np.packbits(found).tobytes()]}) if found.any() else pd.DataFrame({"part": [], "bits": []})
+        if found.any():
+            yield pd.DataFrame({"part": [0], "bits": [np.packbits(found).tobytes()]})
 
     # A filter of fixed size (SEEN bits) over the wanted documents; what else it lets through meets no pair.
     bits = np.zeros(SEEN // 8, np.uint8)
@@ -319,7 +322,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, p
             slot = _slot(f["k"].to_numpy(np.int64))
             f = f[((shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)]
             grams = [shingles(t, shingle) for t in f["t"]]
-            yield pd.DataFrame({"node": np.array([node_of(g) for g in grams], np.int64), "grams": [g.tobytes() for g in grams]})
+            if grams:
+                yield pd.DataFrame({"node": np.array([node_of(g) for g in grams], np.int64), "grams": [g.tobytes() for g in grams]})
 
     found = docs.where("k is not null and t is not null").mapInPandas(sets, "node long, grams binary").repartition(parts, "node")
 

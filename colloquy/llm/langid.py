@@ -89,7 +89,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                     grams = _trigrams(_codes(t[start : start + SLICE]))[0]
                     got = np.bincount(grams, minlength=1 << BITS)
                     sums[one] = sums[one] + got if one in sums else got
-        yield pd.DataFrame({"l": list(sums), "n": [v.astype("<i8").tobytes() for v in sums.values()]})
+        if sums:  # an empty frame of objects has no Arrow type
+            yield pd.DataFrame({"l": list(sums), "n": [v.astype("<i8").tobytes() for v in sums.values()]})
 
     # The sample is bounded, so eight tasks and one table a language and task are.
     got = picked.select("t", "l").repartition(8).mapInPandas(count, "l string, n binary").collect()

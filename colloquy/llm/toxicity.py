@@ -203,7 +203,9 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
 
     def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch[[matcher.match(w) == Matcher.FUZZY for w in batch["w"]]]
+            near = batch[[matcher.match(w) == Matcher.FUZZY for w in batch["w"]]]
+            if len(near):
+                yield near
 
     clean = as_word.where("y = 0").select("w").distinct().mapInPandas(reach, "w string")
     model = ToxicityModel(model.words, model.stems, frozenset(r["w"] for r in clean.collect()))
