@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import tokens
+from colloquy.llm.common import give_back
 
 BUDGET, HISTORY = 1024, 256
 WINDOWS = "conv_id long, window int, last boolean, n_repeated int, n_tokens long, text string, targets array<struct<start:long,end:long>>"
@@ -109,6 +110,8 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
         if conv is not None:
             flush(True)
             yield _frame(out, WINDOWS)
+        del count
+        give_back()
 
     rows = conversations.select(F.col(conv_id).cast("long").alias("c"), F.col(turn).alias("n"), F.coalesce(role, F.lit("")).alias("r"), F.coalesce(text, F.lit("")).alias("t"))
     return rows.repartition("c").sortWithinPartitions("c", "n", "r", "t").select("c", "r", "t").mapInPandas(run, WINDOWS)

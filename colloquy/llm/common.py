@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -59,3 +61,15 @@ def at_most(df: DataFrame, n: int, seed: str, *keys: str) -> DataFrame:
     """
     total = df.count()
     return df if total <= n else df.where(uniform(F.lit(seed), *keys) < F.lit(n / total))
+
+
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system: workers are reused, and share an executor's budget."""
+    gc.collect()
+    try:
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it keeps what it wants
+        pass

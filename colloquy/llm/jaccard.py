@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from colloquy.llm.common import written
+from colloquy.llm.common import give_back, written
 
 SHINGLE, PERCENT = 5, 75
 #: Cells of the level table, as a power of two; it is what is broadcast, two cells a byte.
@@ -156,6 +156,7 @@ def _survey(docs: DataFrame, shingle: int, percent: int, parts: int) -> DataFram
                 low = mixed.view(np.uint8).reshape(-1, 8)[:, 3:]  # the upper five of eight bytes
                 rows = [(b, True, 0, 0, 0, 0, 0, 0, 0, None, low[cuts[b] : cuts[b + 1]].tobytes()) for b in range(ranges) if cuts[b] < cuts[b + 1]]
                 yield pd.DataFrame(rows, columns=columns)
+        give_back()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[bytes]] = {}
@@ -264,14 +265,23 @@ def _index(docs: DataFrame, packed: np.ndarray, shingle: int, percent: int, part
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])  # copies of a set are one node
         token, node, size, pos = token[new], node[new], size[new], pos[new]
-        same = token[1:] == token[:-1]
+        # An entry stays if some other of its list passes the size and position bounds with it.
         keep = np.zeros(len(token), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
+        size, pos = size.astype(np.int64), pos.astype(np.int64)
+        for ahead in range(1, len(token)):
+            at = np.flatnonzero(token[ahead:] == token[:-ahead])
+            if not len(at):
+                break
+            a, b = size[at], size[at + ahead]
+            fits = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & ((100 + percent) * np.minimum(a - pos[at], b - pos[at + ahead]) >= percent * (a + b))
+            keep[at[fits]] = keep[at[fits] + ahead] = True
         at = np.flatnonzero(keep)
+        size, pos = size.astype(np.int32), pos.astype(np.int32)
         for start in range(0, len(at), 1 << 18):
             k = at[start : start + (1 << 18)]
             yield pd.DataFrame({"token": token[k], "node": node[k], "size": size[k], "pos": pos[k]})
+        del token, node, size, pos, order, keep
+        give_back()
 
     rows = docs.select("t").where("t is not null").mapInPandas(emit, "bucket int, block binary, token long, node long, size int, pos int")
     return written(rows.repartition(parts, "bucket").mapInPandas(lists, "token long, node long, size int, pos int"))

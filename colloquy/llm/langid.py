@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from colloquy.llm.common import uniform
+from colloquy.llm.common import give_back, uniform
 
 UNDETERMINED = "und"
 BITS = 14
@@ -176,6 +176,7 @@ def predictor(model: LanguageModel):
                     sets.append(int(s))
                 start = step
             yield pd.DataFrame({"lang": langs, "score": scores, "n_languages": np.array(sets, np.int32)})
+        give_back()
 
     return predict
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from colloquy.llm.common import at_most, uniform, written
+from colloquy.llm.common import at_most, give_back, uniform, written
 
 #: Labelled documents that the classifier is fitted on, at most (in expectation).
 FIT_DOCS = 6000
@@ -105,6 +105,8 @@ def posteriors(model: DomainModel):
                 tokens.append(n)
                 ps.append(_softmax((value @ model.weights[at]).astype(float)).tolist() if model.domains else [])
             yield pd.DataFrame({"tokens": tokens, "p": ps})
+        _memo.clear()
+        give_back()
 
     return run
 

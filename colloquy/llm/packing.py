@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import tokens
-from colloquy.llm.common import written
+from colloquy.llm.common import give_back, written
 
 CAPACITY, SEPARATOR = 2048, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -50,6 +50,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
                     for col, x in zip(cols, (None if pd.isna(k) else int(k), n, start, len(part), zlib.crc32(part.tobytes()))):
                         col.append(x)
             yield pd.DataFrame({"doc_id": pd.array(cols[0], "Int64"), "piece": np.array(cols[1], np.int32), "start": cols[2], "length": cols[3], "ids_crc32": cols[4]})
+        del encode
+        give_back()
 
     return docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, PIECES)
 

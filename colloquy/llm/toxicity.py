@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from colloquy.llm.common import at_most
+from colloquy.llm.common import at_most, give_back
 
 #: Labelled documents that are learned from, at most (in expectation).
 FIT_DOCS = 12000
@@ -248,6 +248,8 @@ def scorer(model: ToxicityModel):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([score(t, model) for t in batch], columns=["score", "hits"])
+        model.memo.clear()
+        give_back()
 
     return run
 
