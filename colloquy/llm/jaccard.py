@@ -361,7 +361,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of the undirected ``a, b`` edges; the root is the smallest node of its component.
 
     Rounds of partition-local union-find, dealt out by the smaller and then by the larger end, until no edge
-    changes.  A task holds about EDGES edges; what fits into one task is contracted there at once.
+    changes.  A task holds about EDGES edges; what fits into one task is contracted there at once.  The edges are
+    read twice (counted, contracted), so they should be a written table; repeated edges do no harm.
     """
 
     def contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -387,7 +388,7 @@ def components(edges: DataFrame) -> DataFrame:
         for start in range(0, len(out), 100_000):
             yield pd.DataFrame(out[start : start + 100_000], columns=["a", "b"])
 
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     while True:
         parts = -(-edges.count() // EDGES)
         if parts <= 1:  # one task's share: contracted at once
@@ -427,7 +428,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
         could = written(_could_reach(near, nodes, percent))
         found = written(_verify(could, docs, nodes, shingle, percent))
         tried, links = (could, found) if tried is None else (tried.union(could), links.union(found))
-        roots = written(components(links))
+        roots = components(links)
         # Lists whose nodes are all of one component are skipped from now on.
         labelled = open_lists.join(roots.withColumnRenamed("node", "n"), F.col("x.node") == F.col("n"), "left").select("token", "x", F.coalesce("root", "x.node").alias("c"))
         spread = labelled.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
@@ -447,8 +448,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     fits += f" and {100 + percent} * (a.size + b.size - ({apart})) >= {2 * percent} * (a.size + b.size)"
     rest = left.join(right, (left["token"] == right["token"]) & F.expr("a_c <> b_c and a.node < b.node") & F.expr(fits)).select(*flat).select("a", "b").distinct()
     rest = rest.join(tried, ["a", "b"], "left_anti")
-    more = _verify(written(_could_reach(rest, nodes, percent)), docs, nodes, shingle, percent)
-    roots = written(components(links.union(more)))
+    more = written(_verify(written(_could_reach(rest, nodes, percent)), docs, nodes, shingle, percent))
+    roots = components(links.union(more))
 
     low = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = low.join(low.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("node", "component_id")
