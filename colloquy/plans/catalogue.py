@@ -13,6 +13,7 @@ from colloquy.operators import distributions as D
 from colloquy.operators import resampling as R
 from colloquy.operators import sequences as S
 from colloquy.operators import tests as H
+from colloquy.operators import vectors as V
 from colloquy.sources.tables import spans, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -557,6 +558,15 @@ def l2_normalise(spark, d):
     return v.select("vec_id", F.round("len", 4).alias("length"), F.round(total, 4).alias("total"))
 
 
+@query("""with v as (select vec_id, label, list_transform(embedding, lambda x: x::double) as e from embeddings),
+  m as (select x.vec_id, x.label, y.label as other, avg(1 - list_cosine_similarity(x.e, y.e)) as d from v x join v y on x.vec_id <> y.vec_id group by all),
+  ab as (select vec_id, label, max(case when other = label then d end) as a, min(case when other <> label then d end) as b from m group by all)
+  select label, count(*) as n, round(avg(case when a is null or b is null then 0 else (b - a) / greatest(a, b) end), 6) as silhouette from ab group by label""")
+def cosine_silhouette(spark, d):
+    s = V.silhouette(table(spark, d, "embeddings"), "label", "embedding")
+    return s.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("silhouette"), 6).alias("silhouette"))
+
+
 START, TRANS = [0.6, 0.4], [[0.7, 0.3], [0.4, 0.6]]
 EMIT = {"click": [0.3, 0.1], "view": [0.3, 0.2], "purchase": [0.1, 0.3], "signup": [0.2, 0.2], "error": [0.1, 0.2]}
 LN = "ln({})"

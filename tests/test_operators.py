@@ -9,6 +9,7 @@ from colloquy.functions.scalar import final_punctuation, words
 from colloquy.operators import distributions as D
 from colloquy.operators import sequences as S
 from colloquy.operators import tests as H
+from colloquy.operators import vectors as V
 
 
 def dist(spark, rows):
@@ -83,3 +84,9 @@ def test_conversation_keys_need_the_file(spark, tmp_path):
     (tmp_path / "b.json").write_text(f'{{"data": [{{"id": "1", "learn_counselling_messages": [{message}, {message}]}}]}}')
     got = conversation_exports(spark, str(tmp_path)).groupBy("conv_key").count().collect()
     assert {(r.conv_key, r["count"]) for r in got} == {("a.json::1", 1), ("b.json::1", 2)}
+
+
+def test_silhouette_of_lone_zero_and_null_vectors(spark):
+    rows = [(0, "p", [1.0, 0.0]), (1, "p", [2.0, 0.0]), (2, "q", [0.0, 1.0]), (3, "q", [0.0, 0.0]), (4, "q", None), (5, None, [1.0, 0.0])]
+    got = V.silhouette(spark.createDataFrame(rows, "i int, g string, v array<double>"), "g", "v").collect()
+    assert {r.i: r.silhouette for r in got} == {0: 1.0, 1: 1.0, 2: 0.0}
