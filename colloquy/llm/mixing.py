@@ -29,6 +29,8 @@ from colloquy.llm.common import at_most, give_back, uniform, written
 #: Labelled documents that the classifier is fitted on, at most (in expectation).
 FIT_DOCS = 6000
 BITS, DENSE, EPOCHS = 12, 3, 60
+#: Documents of a block of the gradient, which bounds the driver's memory.
+BLOCK = 500
 STEPS, TOLERANCE, PULL = 20, 1e-3, 1e-3
 _memo: dict[str, int] = {}
 
@@ -72,24 +74,32 @@ def fit_domains(labelled: DataFrame, text: str = "text", domain: str = "domain",
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
             got = [_features(t) for t in f["t"]]
-            yield pd.DataFrame({"d": f["d"], "at": [g[0].tolist() for g in got], "value": [g[1].tolist() for g in got]})
+            yield pd.DataFrame({"d": f["d"], "at": [g[0].astype("<i2").tobytes() for g in got], "value": [g[1].astype("<f4").tobytes() for g in got]})
 
-    got = sorted(at_most(rows, sample, "mixing", "k").select("d", "t").mapInPandas(project, "d string, at array<int>, value array<float>").collect())
-    domains = tuple(sorted({r["d"] for r in got}))
+    # Packed features, some six bytes each: as lists they would be ten times that on the driver.
+    got = sorted((r["d"], bytes(r["at"]), bytes(r["value"])) for r in at_most(rows, sample, "mixing", "k").select("d", "t").mapInPandas(project, "d string, at binary, value binary").toLocalIterator())
+    domains = tuple(sorted({d for d, _, _ in got}))
     w = np.zeros(((1 << BITS) + DENSE + 1, len(domains)))
     if len(domains) < 2:
         return DomainModel(domains, w)
-    row = np.repeat(np.arange(len(got)), [len(r["at"]) for r in got])
-    at, value = np.concatenate([r["at"] for r in got]), np.concatenate([r["value"] for r in got]).astype(float)
-    truth = np.eye(len(domains))[[domains.index(r["d"]) for r in got]]
-    start = np.searchsorted(row, np.arange(len(got)))
+    truth = np.eye(len(domains))[[domains.index(d) for d, _, _ in got]]
+    counts = np.array([len(x) // 2 for _, x, _ in got])
+    at, value = np.frombuffer(b"".join(x for _, x, _ in got), "<i2"), np.frombuffer(b"".join(v for _, _, v in got), "<f4")
+    total = len(got)
+    del got
+    ends = np.concatenate([[0], np.cumsum(counts)])
     scale = np.zeros_like(w)
-    for _ in range(EPOCHS):  # AdaGrad on the whole sample
-        p = _softmax(np.add.reduceat(w[at] * value[:, None], start))
-        error = ((p - truth) / len(got))[row] * value[:, None]
-        slope = np.stack([np.bincount(at, error[:, k], len(w)) for k in range(len(domains))], axis=1) + 1e-6 * w
+    for _ in range(EPOCHS):  # AdaGrad on the whole sample, whose gradient is summed over blocks of it
+        slope = 1e-6 * w
+        for low in range(0, total, BLOCK):
+            high = min(low + BLOCK, total)
+            here, v = at[ends[low] : ends[high]].astype(np.int64), value[ends[low] : ends[high]].astype(float)
+            p = _softmax(np.add.reduceat(w[here] * v[:, None], ends[low:high] - ends[low]))
+            error = np.repeat((p - truth[low:high]) / total, counts[low:high], axis=0) * v[:, None]
+            slope += np.stack([np.bincount(here, error[:, k], len(w)) for k in range(len(domains))], axis=1)
         scale += slope**2
         w -= 0.5 * slope / (np.sqrt(scale) + 1e-8)
+    give_back()
     return DomainModel(domains, w.astype(np.float32))
 
 
