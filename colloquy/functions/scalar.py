@@ -45,3 +45,62 @@ def bucket(text: Column) -> Column:
     """Problem, Solution, Request or Other by the first matching word of a label's text; the order matters."""
     t = F.lower(text)
     return F.when(t.contains("problem"), "Problem").when(t.contains("recommendation") | t.contains("solution"), "Solution").when(t.contains("request"), "Request").otherwise("Other")
+
+
+def macro_category(label: Column, prefixes: list[tuple[str, str]], other: str) -> Column:
+    """Category of the first prefix, in the given order, that the label starts with."""
+    out = F.lit(other)
+    for prefix, name in reversed(prefixes):
+        out = F.when(F.startswith(label, F.lit(prefix)), name).otherwise(out)
+    return out
+
+
+def role(author: Column, clients: list[str]) -> Column:
+    """Client for the listed authors, whatever their case; everyone else, and no author, is Counsellor."""
+    return F.when(F.lower(F.trim(author)).isin(clients), "Client").otherwise("Counsellor")
+
+
+def speaker_origin(group: Column, speaker: Column) -> Column:
+    """A model speaks only as the client of a conversation with a model."""
+    return F.when((group != "human_human") & (speaker == "Client"), "llm").otherwise("human")
+
+
+def role_prefixed(text: Column, speaker: Column) -> Column:
+    return F.concat(speaker, F.lit(": "), text)
+
+
+def first_sentence(text: Column, most: int) -> Column:
+    """Up to the first final punctuation; longer ones are cut at ``most`` characters with an ellipsis."""
+    s = F.trim(F.regexp_extract(text, "^([^.!?\n]*[.!?]?)", 1))
+    return F.when(F.length(s) > most, F.concat(F.rtrim(F.substring(s, 1, most - 1)), F.lit("…"))).otherwise(s)
+
+
+def without_headers(text: Column, headers: list[str]) -> Column:
+    """Lines that do not start with one of the headers."""
+    kept = F.filter(F.split(text, "\n"), lambda line: ~F.exists(F.array(*[F.lit(h) for h in headers]), lambda h: F.startswith(line, h)))
+    return F.array_join(kept, "\n")
+
+
+def unquoted(text: Column, name: str) -> Column:
+    """A generated turn without the speaker's label and outer quotes."""
+    bare = F.regexp_replace(F.trim(text), f"^{name}\\s*:\\s*", "")
+    return F.regexp_replace(bare, '^["“„]|["”“]$', "")
+
+
+def plain_key(text: Column) -> Column:
+    """A key that does not tell case, accents spelled out, or punctuation."""
+    t = F.lower(text)
+    for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return F.trim(F.regexp_replace(t, "[^a-z0-9]+", " "))
+
+
+def timestamp_of(text: Column) -> Column:
+    """A time stamp in any of the formats of the exports; null if none fits."""
+    formats = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "yyyy-MM-dd HH:mm:ss", "dd.MM.yyyy HH:mm", "yyyy-MM-dd")
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in formats])
+
+
+def pomp(answer: Column, most: int = 5) -> Column:
+    """An answer 1..most, 1 the best, as percent of the scale; others are missing."""
+    return F.when(answer.between(1, most), (most - answer) / (most - 1) * 100)

@@ -56,3 +56,17 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, size: int, purpos
     w = Window.partitionBy(stratum)
     ranked = rows.withColumn("nth", F.row_number().over(w.orderBy(hash_order(F.col(key).cast("string"), purpose), key))).withColumn("population", F.count("*").over(w))
     return ranked.where(F.col("nth") <= size)
+
+
+def length_matched(rows: DataFrame, group: str, reference: str, bin_: str, key: str, purpose: str) -> DataFrame:
+    """``rows`` redrawn with replacement, so that every group has the reference's number of rows in each bin.
+
+    Adds ``weight``, the times a row is drawn; bins that a group has no row in are left out.
+    """
+    w = Window.partitionBy(group, bin_)
+    pool = rows.withColumn("__i", F.row_number().over(w.orderBy(key)) - 1)
+    sizes = rows.groupBy(group, bin_).agg(F.count("*").alias("__n"))
+    quota = sizes.where(F.col(group) == reference).select(bin_, F.col("__n").alias("__k"))
+    picks = sizes.join(quota, bin_).withColumn("__j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__k") - 1)))
+    picks = picks.withColumn("__i", draw(F.col("__n"), F.col(bin_).cast("string"), F.col("__j").cast("string"), purpose)).groupBy(group, bin_, "__i").agg(F.count("*").alias("weight"))
+    return pool.join(picks, [group, bin_, "__i"]).drop("__i")

@@ -123,3 +123,68 @@ def fit_hmm(sequences: DataFrame, states: list[int], restarts: int = 5, iteratio
     fitted = tasks.groupBy(group, "k", "restart").applyInPandas(fit, f"{group} {kind}, k int, restart int, log_likelihood double, n_params int, bic double, aic double, min_occupancy double")
     best = Window.partitionBy(group, "k").orderBy(F.desc("log_likelihood"), "restart")
     return fitted.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r", "restart")
+
+
+def viterbi_prefixes(symbols: Column, start: list[float], trans: list[list[float]], emit: dict[str, list[float]], empty: int) -> Column:
+    """The best path's last state before each symbol, decoded from the symbols before it; ``empty`` where there are none.
+
+    One forward pass: the state of a prefix is the arg-max of its trellis column.
+    """
+    k = len(start)
+    rows = F.create_map(*[x for s, ps in sorted(emit.items()) for x in (F.lit(s), F.array(*[F.lit(float(np.log(p))) for p in ps]))])
+
+    def step(acc: Column, s: Column) -> Column:
+        e = F.element_at(rows, s)
+        later = F.array(*[F.greatest(*[acc["v"][i] + F.lit(float(np.log(trans[i][j]))) for i in range(k)]) + e[j] for j in range(k)])
+        first = F.array(*[F.lit(float(np.log(start[j]))) + e[j] for j in range(k)])
+        best = (F.array_position(acc["v"], F.array_max(acc["v"])) - 1).cast("int")
+        began = F.size(acc["out"]) == 0
+        return F.struct(F.when(began, first).otherwise(later).alias("v"), F.array_append(acc["out"], F.when(began, F.lit(empty)).otherwise(best)).alias("out"))
+
+    zero = F.struct(F.array(*[F.lit(0.0)] * k).alias("v"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(symbols, zero, step, lambda acc: acc["out"])
+
+
+def repaired_roles(spans: DataFrame, marker: Column, signal: Column, conversation: str = "conv", order: tuple[str, ...] = ORDER) -> DataFrame:
+    """Adds ``segment`` and ``role``: roles alternate in a segment, from the speaker that agrees more with ``signal``.
+
+    The first segment is the client's alone; without a signal, or in a tie, the counsellor begins.
+    """
+    rows = sessions(spans, marker, conversation, order).withColumn("__signal", signal)
+    own = Window.partitionBy(conversation, "segment")
+    rows = rows.withColumn("__odd", (F.row_number().over(own.orderBy(*order)) - 1) % 2)
+    by_counsellor = F.when(F.col("__odd") == 0, "Counsellor").otherwise("Client")
+    hits, scored = F.count_if(F.col("__signal") == by_counsellor).over(own), F.count("__signal").over(own)
+    swap = (scored - hits > hits).cast("int")
+    role = F.when(F.col("segment") == 0, "Client").when((F.col("__odd") + swap) % 2 == 0, "Counsellor").otherwise("Client")
+    return rows.withColumn("role", role).drop("__signal", "__odd")
+
+
+def transition_fdr(spans: DataFrame, compared: str, reference: str, replicates: int, purpose: str, least: int = 10, q: float = 0.1) -> DataFrame:
+    """Transitions whose probability differs between two conditions more than between halves of the reference.
+
+    Cells off the diagonal with ``least`` transitions in both together: ``source, target, n, delta, p, bh``.
+    Counts are per conversation first, so a replicate is a sum over conversations, not a pass over the spans.
+    """
+    from colloquy.operators.resampling import halves
+    from colloquy.operators.tests import adjusted
+
+    two = spans.where(F.col("condition").isin(compared, reference))
+    w = Window.partitionBy("condition", "conv").orderBy(*ORDER)
+    pairs = two.select("condition", "conv", F.col("label").alias("source"), F.lead("label").over(w).alias("target")).where("target is not null")
+    counts = pairs.groupBy("condition", "conv", "source", "target").agg(F.count("*").alias("k"))
+
+    def delta(rows: DataFrame, side: Column, *by: str) -> DataFrame:
+        of = lambda x: F.sum(F.when(side == x, F.col("k")).otherwise(0))
+        sums = rows.groupBy(*by, "source", "target").agg(of(1).alias("x"), of(0).alias("y"))
+        own = Window.partitionBy(*by, "source")
+        share = lambda c: F.coalesce(F.try_divide(F.col(c), F.sum(c).over(own)), F.lit(0.0))
+        return sums.select(*by, "source", "target", (F.col("x") + F.col("y")).alias("n"), (share("x") - share("y")).alias("delta"))
+
+    cells = delta(counts, (F.col("condition") == compared).cast("int")).where((F.col("n") >= least) & (F.col("source") != F.col("target")))
+    split = halves(two.where(F.col("condition") == reference), replicates, purpose).join(counts.where(F.col("condition") == reference).drop("condition"), "conv")
+    null = delta(split, 1 - F.col("half"), "b").select("b", "source", "target", F.col("delta").alias("null_delta"))
+    every = cells.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).join(null, ["b", "source", "target"], "left")
+    hits = F.count_if(F.round(F.abs(F.coalesce("null_delta", F.lit(0.0))), 9) >= F.round(F.abs("delta"), 9))
+    tested = every.groupBy("source", "target", "n", "delta").agg(((1 + hits) / (replicates + 1)).alias("p"))
+    return adjusted(tested.withColumn("cell", F.concat_ws(">", "source", "target")), "p", "cell", q).select("source", "target", "n", "delta", "p", "bh")

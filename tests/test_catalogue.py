@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from colloquy.plans import catalogue
+from colloquy.plans import catalogue, texts  # noqa: F401 - registers its queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -90,3 +90,39 @@ def test_silhouette_of_lone_zero_and_null_vectors(spark):
     rows = [(0, "p", [1.0, 0.0]), (1, "p", [2.0, 0.0]), (2, "q", [0.0, 1.0]), (3, "q", [0.0, 0.0]), (4, "q", None), (5, None, [1.0, 0.0])]
     got = V.silhouette(spark.createDataFrame(rows, "i int, g string, v array<double>"), "g", "v").collect()
     assert {r.i: r.silhouette for r in got} == {0: 1.0, 1: 1.0, 2: 0.0}
+
+
+def test_spans_are_anchored_replaced_and_remapped(spark):
+    from colloquy.functions import offsets as O
+
+    rows = spark.createDataFrame([("Hi. Hi 😀! x",), ("",), (None,), ("...",), (" a \n b ",)], "text string")
+    got = [r[0] and [(s["start"], s["end"], s["text"]) for s in r[0]] for r in rows.select(O.sentences(F.col("text"))).collect()]
+    assert got == [[(0, 3, "Hi."), (4, 9, "Hi 😀!"), (10, 11, "x")], [], None, [], [(1, 2, "a"), (5, 6, "b")]]
+    one = spark.createDataFrame([("call 12345 now 678",)], "text string").select("text", O.matches(F.col("text"), "[0-9]{3,}").alias("m"))
+    m = F.col("m")
+    row = one.select(O.replaced(F.col("text"), m, "[NUM]"), O.remapped(F.lit(7), m, 5, False), O.remapped(F.lit(7), m, 5, True), O.remapped(F.lit(16), m, 5, True)).first()
+    assert tuple(row) == ("call [NUM] now [NUM]", 5, 10, 20)
+
+
+def test_merged_intervals_keep_the_longer_label(spark):
+    from colloquy.operators import intervals as I
+
+    rows = [(1, 0, 5, "a", "x"), (1, 3, 12, "b", "y"), (1, 12, 14, "c", "x"), (2, 0, 1, "d", "x"), (2, 0, 1, "d", "x")]
+    got = I.merged(spark.createDataFrame(rows, "k int, start int, end int, label string, source string"), "k")
+    assert sorted(map(tuple, got.collect())) == [(1, 0, 12, "b", "both"), (1, 12, 14, "c", "x"), (2, 0, 1, "d", "x")]
+
+
+def test_text_columns(spark):
+    from colloquy.functions import scalar as C
+
+    row = spark.createDataFrame([("Größe, ÄPFEL!", "Anna: \"Hallo\"", "Therapist 10:02\nja", "2024-03-01", " Client ", 6)], "a string, b string, c string, d string, e string, f int")
+    got = row.select(C.plain_key(F.col("a")), C.unquoted(F.col("b"), "Anna"), C.without_headers(F.col("c"), ["Therapist"]), F.date_format(C.timestamp_of(F.col("d")), "yyyy-MM"), C.role(F.col("e"), ["client"]), C.role(F.lit(None).cast("string"), ["client"]), C.pomp(F.col("f")), C.pomp(F.lit(1)), C.first_sentence(F.lit("One two. Three"), 5)).first()
+    assert tuple(got) == ("groesse aepfel", "Hallo", "ja", "2024-03", "Client", "Counsellor", None, 100.0, "One…")
+
+
+def test_contained_texts_must_be_unique(spark):
+    from colloquy.operators import textjoins as J
+
+    left = spark.createDataFrame([(1, 1, "ab"), (1, 2, "b"), (1, 3, ""), (1, 4, "zz")], "k int, id int, text string")
+    right = spark.createDataFrame([(1, 10, "xaby"), (1, 11, "b")], "k int, id int, text string")
+    assert [tuple(r) for r in J.contained(left, right, "k").collect()] == [(1, 1, 10)]
