@@ -3,13 +3,16 @@
 A page is cut into blocks.  Scripts, styles and comments go; containers whose tag or class says menu,
 header, footer, sidebar, notice, advert, form or reader comment go with all they hold.  If the page marks
 its article (``article``, ``main``, role or class), the blocks in it are the main text, repeated or not.
-On pages that mark none, the remaining blocks are compared across pages of the host: their token streams
-are concatenated, suffixes are sorted by prefix doubling to RUN tokens, and substrings of that length that
-occur on PAGES distinct pages or more are marked; blocks covered by marks are boilerplate, and the unique
+On pages that mark none, the remaining blocks are compared across pages of the host: the suffixes of their
+token streams are sorted to RUN tokens, and substrings of that length that occur on PAGES distinct pages or
+more are marked; blocks covered by marks are boilerplate, and the unique
 runs are the main text.  Pages with the same stream count as one page, so a copied page is not boilerplate.
 
-Hosts are dealt out by name, those with more than GROUP pages and a thousandth of all by name and salt, and
-streamed in groups of at most GROUP pages, which bounds memory for any host.
+A host is compared as a whole, whatever its size.  Pages are parsed in groups; a group's substrings of RUN
+tokens, hashed with the host to 64 bits, are dealt out by hash with at most PAGES of its streams each, sorted
+and counted there, and those that occur on PAGES distinct pages of the host go back to the groups that have
+them.  So no task holds a host, and a page's text does not depend on other hosts or on the table's size.
+:func:`main_texts` finds the same by a suffix array of one host's pages.
 
 Defined results: null or empty html gives the empty text; a null url is a host of its own; character
 references are decoded; white space inside a block is one blank; blocks are joined by two line feeds.
@@ -17,17 +20,28 @@ references are decoded; white space inside a block is one blank; blocks are join
 
 from __future__ import annotations
 
+import hashlib
 import html
+import pickle
 import re
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-RUN, PAGES, COVER, GROUP = 8, 3, 0.8, 512
-SHARE = 1000
+from colloquy.llm.common import written
+
+RUN, PAGES, COVER = 8, 3, 0.8
+#: Characters of a group of pages, and grams that a task sorts at once; both only bound memory.
+GROUP_CHARS, BUCKET = 3_000_000, 1 << 21
+MEMO = 200_000
+_memo: dict[str | None, int] = {}
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|iframe|svg|textarea|title|object)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|<[!?][^<>]*>")
 _CUT = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
@@ -145,60 +159,189 @@ def repeated(streams: list[list[int]], run: int = RUN, pages: int = PAGES) -> li
     return [parts[tuple(s)][:-1] for s in streams]
 
 
+def _spans(page: list[tuple[str, bool]]) -> tuple[list[str | None], list[tuple[int, int]]]:
+    """The token stream of a page's blocks, and each block's range in it; a border (None) begins each block."""
+    stream: list[str | None] = []
+    at = []
+    for block, _ in page:
+        begin = len(stream)
+        stream.append(None)  # block borders are tokens: a row of short blocks can repeat too
+        stream += block.split()
+        at.append((begin, len(stream)))
+    return stream, at
+
+
+def _compared(page: list[tuple[str, bool]]) -> bool:
+    """Whether the page takes part in the comparison: those without a marked article do."""
+    return bool(page) and not any(m for _, m in page)
+
+
+def _kept(page: list[tuple[str, bool]], cover: np.ndarray | None, at: list[tuple[int, int]]) -> str:
+    """The main text of a page, given which tokens of its stream are repeated."""
+    if cover is None:
+        return "\n\n".join(b for b, marked in page if marked)
+    return "\n\n".join(b for (b, _), (i, j) in zip(page, at) if cover[i:j].mean() < COVER)
+
+
 def main_texts(pages: list[list[tuple[str, bool]]]) -> list[str]:
-    """Main texts of pages of one host, given their blocks."""
-    ids: dict[str, int] = {}
-    unmarked = [k for k, p in enumerate(pages) if p and not any(m for _, m in p)]
-    streams, spans = [], []
-    for k in unmarked:
-        stream, at = [], []
-        for block, _ in pages[k]:
-            begin = len(stream)
-            stream.append(0)  # block borders are tokens: a row of short blocks can repeat too
-            stream += [ids.setdefault(w, len(ids) + 1) for w in block.split()]
-            at.append((begin, len(stream)))
-        streams.append(stream)
-        spans.append(at)
-    covers = dict(zip(unmarked, zip(repeated(streams), spans)))
-    out = []
-    for k, page in enumerate(pages):
-        if k in covers:
-            cover, at = covers[k]
-            out.append("\n\n".join(b for (b, _), (i, j) in zip(page, at) if cover[i:j].mean() < COVER))
-        else:
-            out.append("\n\n".join(b for b, marked in page if marked))
-    return out
+    """Main texts of pages of one host, given their blocks; :func:`extract` gives the same for hosts of any size."""
+    ids: dict[str | None, int] = {None: 0}
+    parts = [_spans(p) if _compared(p) else None for p in pages]
+    covers = iter(repeated([[ids.setdefault(w, len(ids)) for w in x[0]] for x in parts if x]))
+    return [_kept(p, next(covers), x[1]) if x else _kept(p, None, []) for p, x in zip(pages, parts)]
+
+
+def _hash(data: bytes, size: int = 8) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=size).digest(), "little")
+
+
+def grams(host: str, stream: list[str | None]) -> np.ndarray:
+    """64-bit hashes of (host, RUN tokens) at every position of a stream that RUN tokens follow."""
+    if len(stream) < RUN:
+        return np.zeros(0, np.uint64)
+    if len(_memo) > MEMO:
+        _memo.clear()
+    ids = []
+    for w in stream:
+        k = _memo.get(w)
+        if k is None:
+            k = _memo[w] = 0x9E3779B97F4A7C15 if w is None else _hash(w.encode("utf-8", "surrogatepass"))
+        ids.append(k)
+    code = np.array(ids, np.uint64)
+    n = len(code) - RUN + 1
+    h = np.full(n, _hash(host.encode("utf-8", "surrogatepass")), np.uint64)
+    for k in range(RUN):
+        h = (h ^ code[k : k + n]) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(32)
+    return h
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as planes of their differences' bytes, which compress."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _first(keys: np.ndarray, streams: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted by key: at most ``most`` distinct streams of each key, which is all that a count up to ``most`` needs."""
+    order = np.lexsort((streams, keys))
+    keys, streams = keys[order], streams[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (streams[1:] != streams[:-1])
+    keys, streams = keys[new], streams[new]
+    begins = np.ones(len(keys), bool)
+    begins[1:] = keys[1:] != keys[:-1]
+    at = np.flatnonzero(begins)
+    rank = np.arange(len(keys)) - np.repeat(at, np.diff(np.append(at, len(keys))))
+    return keys[rank < most], streams[rank < most]
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of parsed pages: ``part, tokens, data``."""
+
+    def group(held: list) -> pa.RecordBatch:
+        tokens = sum(len(b.split()) + 1 for *_, p in held if _compared(p) for b, _ in p)
+        return pa.RecordBatch.from_pydict({"part": [uuid.uuid4().hex], "tokens": [tokens], "data": [zlib.compress(pickle.dumps(held), 1)]}, _PARSED)
+
+    held, size = [], 0
+    for batch in batches:
+        for k, u, source, h in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "host"))):
+            page = blocks(source)
+            held.append((k, u, h, page))
+            size += sum(len(b) for b, _ in page) + 100
+            if size > GROUP_CHARS:
+                yield group(held)
+                held, size = [], 0
+    if held:
+        yield group(held)
+
+
+_PARSED = pa.schema([("part", pa.string()), ("tokens", pa.int64()), ("data", pa.binary())])
+_GRAMS = pa.schema([("bucket", pa.int32()), ("part", pa.string()), ("keys", pa.binary()), ("streams", pa.binary())])
+_HOT = pa.schema([("part", pa.string()), ("keys", pa.binary())])
+
+
+def _emit(buckets: int):
+    """From groups of pages to their grams: one row for each bucket of keys, at most PAGES streams a key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist()):
+                keys, streams = [], []
+                for _, _, h, page in pickle.loads(zlib.decompress(data)):
+                    if _compared(page):
+                        stream = _spans(page)[0]
+                        keys.append(np.unique(grams(h, stream)))
+                        own = _hash("\n".join(w or "" for w in stream).encode("utf-8", "surrogatepass"), 4)
+                        streams.append(np.full(len(keys[-1]), own, np.uint32))
+                if not keys:
+                    continue
+                k, s = _first(np.concatenate(keys), np.concatenate(streams), PAGES)
+                # Buckets are ranges of the key, so each is a slice.
+                cut = np.searchsorted((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+                rows = [(b, part, _packed(k[i:j]), s[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _GRAMS)] if rows else [pa.array([], f.type) for f in _GRAMS], schema=_GRAMS)
+
+    return run
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the grams of a bucket to those on PAGES distinct streams of their host, for each group that has them."""
+    at, held = None, []
+
+    def flush() -> pa.RecordBatch:
+        keys = np.concatenate([k for _, k, _ in held])
+        first, _ = _first(keys, np.concatenate([s for *_, s in held]), PAGES)
+        values, n = np.unique(first, return_counts=True)
+        often = values[n >= PAGES]
+        got = [(part, np.unique(k[np.isin(k, often)])) for part, k, _ in held] if len(often) else []
+        rows = [(part, k.tobytes()) for part, k in got if len(k)]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_HOT)], schema=_HOT)
+
+    for batch in batches:
+        for b, part, keys, streams in zip(*(batch.column(c).to_pylist() for c in _GRAMS.names)):
+            if held and b != at:
+                yield flush()
+            at = b
+            held.append((part, _unpacked(keys), np.frombuffer(streams, np.uint32)))
+    if held:
+        yield flush()
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"), host.alias("host"))
-    n = rows.count()
-    # Fewer than SHARE hosts have more pages than this; they are salted into parts of about as many.
-    most = max(GROUP, n // SHARE + 1)
-    hot = {r["host"]: -(-r["n"] // most) for r in rows.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > most).collect()}
-    parts = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair]) if hot else None
-    salt = F.coalesce(F.pmod(F.xxhash64("page_id"), F.try_element_at(parts, "host")), F.lit(0)) if hot else F.lit(0).cast("long")
-    kind = pages.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, group = [], None
-
-        def flush() -> pd.DataFrame:
-            texts = main_texts([h[2] for h in held])
-            frame = pd.DataFrame({"page_id": pd.array([h[0] for h in held], "Int64") if kind in ("bigint", "int") else [h[0] for h in held], "url": [h[1] for h in held], "text": texts, "n_chars": [len(t) for t in texts]})
-            held.clear()
-            return frame
+    parsed = written(rows.mapInArrow(_parse, "part string, tokens long, data binary"))
+    total = parsed.agg(F.sum("tokens")).first()[0] or 0
+    buckets = total // BUCKET + 1
+    dealt = parsed.mapInArrow(_emit(buckets), "bucket int, part string, keys binary, streams binary")
+    # Each bucket holds about BUCKET grams at most, of whatever hosts: hashes spread them evenly.
+    dealt = dealt.repartition(max(buckets, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bucket").sortWithinPartitions("bucket")
+    hot = dealt.mapInArrow(_count, "part string, keys binary").groupBy("part").agg(F.collect_list("keys").alias("keys"))
+    kind = pages.schema[key].dataType
+    result = StructType([StructField("page_id", kind), StructField("url", StringType()), StructField("text", StringType()), StructField("n_chars", LongType())])
+    schema = to_arrow_schema(result)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for h, s, k, u, source in zip(batch["host"], batch["salt"], batch["page_id"], batch["url"], batch["html"]):
-                if held and ((h, s) != group or len(held) >= GROUP):
-                    yield flush()
-                group = (h, s)
-                held.append((None if pd.isna(k) else k, u, blocks(source)))
-        if held:
-            yield flush()
-
-    dealt = rows.withColumn("salt", salt).repartition("host", "salt").sortWithinPartitions("host", "salt", "page_id")
-    return dealt.mapInPandas(run, f"page_id {kind}, url string, text string, n_chars long")
+            for data, found in zip(batch.column("data").to_pylist(), batch.column("keys").to_pylist()):
+                often = np.sort(np.concatenate([np.frombuffer(k, np.uint64) for k in found or []] or [np.zeros(0, np.uint64)]))
+                out = []
+                for k, u, h, p in pickle.loads(zlib.decompress(data)):
+                    cover, at = None, []
+                    if _compared(p):
+                        stream, at = _spans(p)
+                        start = np.isin(grams(h, stream), often)
+                        cover = np.zeros(len(stream), bool)
+                        for i in range(RUN):
+                            cover[i : i + len(start)] |= start
+                    text = _kept(p, cover, at)
+                    out.append((k, u, text, len(text)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return parsed.select("part", "data").join(hot, "part", "left").select("data", "keys").mapInArrow(run, result)

@@ -139,6 +139,25 @@ def test_unmarked_boilerplate_goes_and_unique_runs_stay(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_a_host_is_compared_as_a_whole(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "GROUP_CHARS", 20_000, raising=False)  # many groups
+    notice = "this rare notice is on few of the pages of the host"
+    rows = [(k, f"https://big.example/{k}", f"<div>{' '.join(f'w{k}x{i}' for i in range(9))}</div>" + (f"<div>{notice}</div>" if k in (3, 700, 1400) else "")) for k in range(1500)]
+    rows += [(k, f"https://other.example/{k}", f"<div>{notice}</div><div>{k}</div>") for k in (2001, 2002)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert len(got) == len(rows) and not any(notice in got[k] for k in range(1500)) and all(notice in got[k] for k in (2001, 2002))
+
+
+def test_extract_equals_suffix_array(spark):
+    rng = np.random.default_rng(11)
+    pages = ["".join(f"<div>{sentences(rng, 9, ['a', 'b', 'c'])}</div>" for _ in range(rng.integers(0, 5))) for _ in range(60)]
+    pages += pages[:10]
+    want = html_extract.main_texts([html_extract.blocks(p) for p in pages])
+    rows = [(k, "//h/", p) for k, p in enumerate(pages)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
+    assert {r.page_id: r.text for r in got} == dict(enumerate(want)) and {r.n_chars for r in got} > {0}
+
+
 # -- packing ----------------------------------------------------------------------------------------------
 
 
