@@ -1,12 +1,14 @@
 """Main text of web pages: structure first, then host suffix arrays.
 
 A page is cut into blocks.  Scripts, styles and comments go; containers whose tag or class says menu,
-header, footer, sidebar, notice, advert, form or reader comment go with all they hold.  If the page marks
-its article (``article``, ``main``, role or class), the blocks in it are the main text, repeated or not.
-On pages that mark none, the remaining blocks are compared across pages of the host: the suffixes of their
-token streams are sorted to RUN tokens, and substrings of that length that occur on PAGES distinct pages or
-more are marked; blocks covered by marks are boilerplate, and the unique
-runs are the main text.  Pages with the same stream count as one page, so a copied page is not boilerplate.
+header, footer, sidebar, notice, advert, form or reader comment go with all they hold; inside a marked
+article (``article``, ``main``, role or class), headings and ids are not held against a container.
+The blocks of all pages are compared across pages of the host: the suffixes of their token streams are
+sorted to RUN tokens, and substrings of that length that occur on PAGES distinct pages or more are marked;
+blocks covered by marks are boilerplate, and the unique runs are the main text.  A marked article confines
+the main text to its own blocks, unless more unique text stands beside it than in it (a teaser), and an
+article that is mostly repeated is a copy and is protected whole.  Pages with the same stream count as one
+page, so a copied page is not boilerplate.
 
 A host is compared as a whole, whatever its size.  Pages are parsed in groups; a group's substrings of RUN
 tokens, hashed with the host to 64 bits, are dealt out by hash with at most PAGES of its streams each, sorted
@@ -57,6 +59,8 @@ MARKED = frozenset(
     "sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar widget widgets complementary contentinfo".split()
 )
 MAIN = frozenset("article main".split())
+#: Not held to MARKED inside a marked article.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 CONTENT = re.compile(r"(?:^|[\s_-])(?:articlebody|article[-_ ]?(?:body|content|text)|post[-_ ]?(?:body|content|text)|entry[-_ ]?content|main[-_ ]?content)(?:$|[\s_-])", re.I)
 
 
@@ -67,7 +71,8 @@ def _kind(tag: str, attributes: str, inside_main: bool) -> int:
     if "=" in attributes or "hidden" in attributes:
         values = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attributes)}
         named = " ".join(values.get(k, "") for k in ("class", "id", "role"))
-        if tag not in ("body", "html", "main") and any(w.lower() in MARKED for w in _PART.findall(named)):
+        telling = " ".join(values.get(k, "") for k in ("class", "role")) if inside_main else named
+        if tag not in ("body", "html", "main") and not (inside_main and tag in HEADINGS) and any(w.lower() in MARKED for w in _PART.findall(telling)):
             return -1
         if "display:none" in values.get("style", "").replace(" ", "").lower() or re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes):
             return -1
@@ -171,24 +176,25 @@ def _spans(page: list[tuple[str, bool]]) -> tuple[list[str | None], list[tuple[i
     return stream, at
 
 
-def _compared(page: list[tuple[str, bool]]) -> bool:
-    """Whether the page takes part in the comparison: those without a marked article do."""
-    return bool(page) and not any(m for _, m in page)
-
-
-def _kept(page: list[tuple[str, bool]], cover: np.ndarray | None, at: list[tuple[int, int]]) -> str:
+def _kept(page: list[tuple[str, bool]], cover: np.ndarray, at: list[tuple[int, int]]) -> str:
     """The main text of a page, given which tokens of its stream are repeated."""
-    if cover is None:
-        return "\n\n".join(b for b, marked in page if marked)
-    return "\n\n".join(b for (b, _), (i, j) in zip(page, at) if cover[i:j].mean() < COVER)
+    often = [cover[i:j].mean() >= COVER for i, j in at]
+    size = [j - i - 1 for i, j in at]
+    inside = sum(n for n, (_, marked) in zip(size, page) if marked)
+    beside = sum(n for n, r, (_, marked) in zip(size, often, page) if not marked and not r)
+    if beside > inside:  # no marked article, or a teaser only
+        return "\n\n".join(b for (b, _), r in zip(page, often) if not r)
+    # Boilerplate is the smaller part of an article; one that is mostly repeated is a copy, and stays whole.
+    copied = 2 * sum(n for n, r, (_, marked) in zip(size, often, page) if marked and r) >= inside
+    return "\n\n".join(b for (b, marked), r in zip(page, often) if marked and (copied or not r))
 
 
 def main_texts(pages: list[list[tuple[str, bool]]]) -> list[str]:
     """Main texts of pages of one host, given their blocks; :func:`extract` gives the same for hosts of any size."""
     ids: dict[str | None, int] = {None: 0}
-    parts = [_spans(p) if _compared(p) else None for p in pages]
-    covers = iter(repeated([[ids.setdefault(w, len(ids)) for w in x[0]] for x in parts if x]))
-    return [_kept(p, next(covers), x[1]) if x else _kept(p, None, []) for p, x in zip(pages, parts)]
+    parts = [_spans(p) for p in pages]
+    covers = repeated([[ids.setdefault(w, len(ids)) for w in stream] for stream, _ in parts])
+    return [_kept(p, cover, at) for p, cover, (_, at) in zip(pages, covers, parts)]
 
 
 def _hash(data: bytes, size: int = 8) -> int:
@@ -243,7 +249,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of parsed pages: ``part, tokens, data``."""
 
     def group(held: list) -> pa.RecordBatch:
-        tokens = sum(len(b.split()) + 1 for *_, p in held if _compared(p) for b, _ in p)
+        tokens = sum(len(b.split()) + 1 for *_, p in held for b, _ in p)
         return pa.RecordBatch.from_pydict({"part": [uuid.uuid4().hex], "tokens": [tokens], "data": [zlib.compress(pickle.dumps(held), 1)]}, _PARSED)
 
     held, size = [], 0
@@ -272,13 +278,10 @@ def _emit(buckets: int):
             for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist()):
                 keys, streams = [], []
                 for _, _, h, page in pickle.loads(zlib.decompress(data)):
-                    if _compared(page):
-                        stream = _spans(page)[0]
-                        keys.append(np.unique(grams(h, stream)))
-                        own = _hash("\n".join(w or "" for w in stream).encode("utf-8", "surrogatepass"), 4)
-                        streams.append(np.full(len(keys[-1]), own, np.uint32))
-                if not keys:
-                    continue
+                    stream = _spans(page)[0]
+                    keys.append(np.unique(grams(h, stream)))
+                    own = _hash("\n".join(w or "" for w in stream).encode("utf-8", "surrogatepass"), 4)
+                    streams.append(np.full(len(keys[-1]), own, np.uint32))
                 k, s = _first(np.concatenate(keys), np.concatenate(streams), PAGES)
                 # Buckets are ranges of the key, so each is a slice.
                 cut = np.searchsorted((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
@@ -333,13 +336,12 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
                 often = np.sort(np.concatenate([np.frombuffer(k, np.uint64) for k in found or []] or [np.zeros(0, np.uint64)]))
                 out = []
                 for k, u, h, p in pickle.loads(zlib.decompress(data)):
-                    cover, at = None, []
-                    if _compared(p):
-                        stream, at = _spans(p)
-                        start = np.isin(grams(h, stream), often)
-                        cover = np.zeros(len(stream), bool)
-                        for i in range(RUN):
-                            cover[i : i + len(start)] |= start
+                    stream, at = _spans(p)
+                    own = grams(h, stream)
+                    start = often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own if len(often) else np.zeros(len(own), bool)
+                    cover = np.zeros(len(stream), bool)
+                    for i in range(RUN):
+                        cover[i : i + len(start)] |= start
                     text = _kept(p, cover, at)
                     out.append((k, u, text, len(text)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)

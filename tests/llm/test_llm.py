@@ -158,6 +158,19 @@ def test_extract_equals_suffix_array(spark):
     assert {r.page_id: r.text for r in got} == dict(enumerate(want)) and {r.n_chars for r in got} > {0}
 
 
+def test_repeats_inside_marked_articles_and_teasers(spark):
+    own = lambda k, n=30: " ".join(f"t{k}y{i}" for i in range(n))
+    notice = "please tell all of your friends about this fine page"
+    article = lambda k: f"<article><header class='entry-header'><h1>Head {k}</h1></header><p>{own(k)}</p><h2 id='related-work'>Work</h2><section id='share'><p>{own(100 + k)}</p></section><p>{notice}</p></article>"
+    pages = [f"<body><p>by line {k}</p>{article(k)}</body>" for k in range(4)]
+    pages += [f"<body><article>teaser {k}</article><div>{own(k)}</div></body>" for k in range(4, 6)]
+    pages += [f"<body><article><p>{own(50)}</p><p>only {k}</p></article></body>" for k in range(6, 9)]  # near copies
+    want = [f"Head {k}\n\n{own(k)}\n\nWork\n\n{own(100 + k)}" for k in range(4)] + [f"teaser {k}\n\n{own(k)}" for k in range(4, 6)] + [f"{own(50)}\n\nonly {k}" for k in range(6, 9)]
+    assert html_extract.main_texts([html_extract.blocks(p) for p in pages]) == want
+    rows = spark.createDataFrame([(k, "//h/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(rows).collect()} == dict(enumerate(want))
+
+
 # -- packing ----------------------------------------------------------------------------------------------
 
 
