@@ -69,40 +69,78 @@ def viterbi(symbols: Column, start: list[float], trans: list[list[float]], emit:
     return F.aggregate(symbols, F.struct(first.alias("v"), F.lit(0).alias("n")), step, done)
 
 
+class _Steps:
+    """Sequences side by side, longest first: the symbols at each step of those that reach it."""
+
+    def __init__(self, seqs: list[np.ndarray]):
+        by_length = sorted(seqs, key=len, reverse=True)
+        sizes = np.array([len(x) for x in by_length])
+        self.x = [np.array([x[t] for x in by_length[: int((sizes > t).sum())]]) for t in range(sizes[0])]
+        self.all = np.concatenate(self.x)
+
+    def forward(self, pi: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], float]:
+        """Scaled forward variables and scales of every step, and the log-likelihood."""
+        alpha, scale = [], []
+        for t, x in enumerate(self.x):
+            v = (pi if t == 0 else alpha[-1][: len(x)] @ a) * b.T[x]
+            c = np.maximum(v.sum(axis=1), 1e-300)
+            alpha.append(v / c[:, None])
+            scale.append(c)
+        return alpha, scale, float(np.log(np.concatenate(scale)).sum())
+
+    def occupancy(self, pi: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Shares of the observations on the states of the best paths (Viterbi)."""
+        with np.errstate(divide="ignore"):
+            pi, a, e = np.log(pi), np.log(a), np.log(b.T)
+        v, back = pi + e[self.x[0]], []
+        ends = [v]
+        for x in self.x[1:]:
+            paths = ends[-1][: len(x), :, None] + a
+            back.append(paths.argmax(axis=1))
+            ends.append(paths.max(axis=1) + e[x])
+        counts, state = np.zeros(len(pi)), np.zeros(0, int)
+        for t in range(len(self.x) - 1, -1, -1):
+            before = back[t][np.arange(len(state)), state] if len(state) else state
+            state = np.concatenate([before, ends[t][len(state) :].argmax(axis=1)])
+            counts += np.bincount(state, minlength=len(pi))
+        return counts / counts.sum()
+
+
 def _baum_welch(seqs: list[np.ndarray], k: int, m: int, seed: int, iterations: int, tolerance: float) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """The log-likelihood of the fitted parameters, and these: start, transitions, emissions."""
     rng = np.random.default_rng(seed)
     pi, a, b = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(m), k)
+    steps = _Steps(seqs)
     last = -np.inf
     for _ in range(iterations):
-        n_pi, n_a, n_b, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, m)), 0.0
-        for x in seqs:
-            e = b[:, x].T
-            alpha, beta, scale = np.zeros((len(x), k)), np.ones((len(x), k)), np.zeros(len(x))
-            for t in range(len(x)):
-                alpha[t] = (pi if t == 0 else alpha[t - 1] @ a) * e[t]
-                scale[t] = alpha[t].sum() or 1e-300
-                alpha[t] /= scale[t]
-            for t in range(len(x) - 2, -1, -1):
-                beta[t] = a @ (e[t + 1] * beta[t + 1]) / scale[t + 1]
-            gamma = alpha * beta
-            n_pi += gamma[0]
-            n_a += a * (alpha[:-1].T @ (e[1:] * beta[1:] / scale[1:, None]))
-            np.add.at(n_b.T, x, gamma)
-            total += np.log(scale).sum()
-        pi = n_pi / n_pi.sum()
+        alpha, scale, total = steps.forward(pi, a, b)
+        n_a, gamma = np.zeros((k, k)), [alpha[-1]]
+        beta = np.ones_like(alpha[-1])
+        for t in range(len(alpha) - 2, -1, -1):
+            later = b.T[steps.x[t + 1]] * beta / scale[t + 1][:, None]
+            n_a += alpha[t][: len(later)].T @ later
+            beta = np.ones_like(alpha[t])
+            beta[: len(later)] = later @ a.T
+            gamma.append(alpha[t] * beta)
+        n_a *= a
+        every = np.concatenate(gamma[::-1])
+        n_b = np.array([np.bincount(steps.all, every[:, i], m) for i in range(k)])
+        pi = gamma[-1].sum(axis=0) / len(seqs)
         a = (n_a + 1e-12) / (n_a + 1e-12).sum(axis=1, keepdims=True)
         b = (n_b + 1e-12) / (n_b + 1e-12).sum(axis=1, keepdims=True)
         if total - last < tolerance:
             break
         last = total
-    return total, pi, a, b
+    return steps.forward(pi, a, b)[2], pi, a, b
 
 
 def fit_hmm(sequences: DataFrame, states: list[int], restarts: int = 5, iterations: int = 50, tolerance: float = 1e-3, group: str = "condition") -> DataFrame:
     """Categorical hidden Markov models by Baum-Welch, the best of several restarts for each group and state count.
 
     ``sequences`` has ``group, conv, symbols`` (array of strings).  Every (group, states, restart) is its own
-    task.  Returns ``group, k, log_likelihood, n_params, bic, aic, min_occupancy`` of the best restart.
+    task.  Returns ``group, k, log_likelihood, n_params, bic, aic, min_occupancy, min_pairwise_tv`` of the best
+    restart (occupancy by best paths; total variation of two states' emissions), and ``distinct_optima``: the
+    restarts' different log-likelihoods, to two places.
     """
     tasks = sequences.select(group, "conv", "symbols", F.explode(F.array(*[F.lit(k) for k in states])).alias("k"))
     tasks = tasks.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
@@ -113,16 +151,16 @@ def fit_hmm(sequences: DataFrame, states: list[int], restarts: int = 5, iteratio
         code = {s: i for i, s in enumerate(alphabet)}
         seqs = [np.array([code[x] for x in s]) for s in rows]
         k, m, n = int(key[1]), len(alphabet), sum(map(len, seqs))
-        score, _, a, _ = _baum_welch(seqs, k, m, 42 + int(key[2]), iterations, tolerance)
+        score, pi, a, b = _baum_welch(seqs, k, m, 42 + int(key[2]), iterations, tolerance)
         free = (k - 1) + k * (k - 1) + k * (m - 1)
-        values, vectors = np.linalg.eig(a.T)
-        stay = np.abs(np.real(vectors[:, np.argmax(np.real(values))]))
-        return pd.DataFrame([(*key, score, free, free * np.log(n) - 2 * score, 2 * free - 2 * score, stay.min() / stay.sum())], columns=[group, "k", "restart", "log_likelihood", "n_params", "bic", "aic", "min_occupancy"])
+        apart = min((np.abs(b[i] - b[j]).sum() / 2 for i in range(k) for j in range(i)), default=np.nan)
+        return pd.DataFrame([(*key, score, free, free * np.log(n) - 2 * score, 2 * free - 2 * score, _Steps(seqs).occupancy(pi, a, b).min(), apart)], columns=[group, "k", "restart", "log_likelihood", "n_params", "bic", "aic", "min_occupancy", "min_pairwise_tv"])
 
     kind = sequences.schema[group].dataType.simpleString()
-    fitted = tasks.groupBy(group, "k", "restart").applyInPandas(fit, f"{group} {kind}, k int, restart int, log_likelihood double, n_params int, bic double, aic double, min_occupancy double")
+    fitted = tasks.groupBy(group, "k", "restart").applyInPandas(fit, f"{group} {kind}, k int, restart int, log_likelihood double, n_params int, bic double, aic double, min_occupancy double, min_pairwise_tv double")
     best = Window.partitionBy(group, "k").orderBy(F.desc("log_likelihood"), "restart")
-    return fitted.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r", "restart")
+    optima = F.size(F.collect_set(F.round("log_likelihood", 2)).over(Window.partitionBy(group, "k")))
+    return fitted.withColumn("distinct_optima", optima).withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r", "restart")
 
 
 def viterbi_prefixes(symbols: Column, start: list[float], trans: list[list[float]], emit: dict[str, list[float]], empty: int) -> Column:

@@ -586,4 +586,4 @@ def hmm_viterbi_fixed(spark, d):
 def hmm_model_selection(spark, d):
     """Fitted models by state count: rows only, as random starts are not SQL."""
     s = spans(spark, d).groupBy("condition", "conv").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "span", "label"))), lambda x: x["label"]).alias("symbols"))
-    return S.fit_hmm(s, [2, 3], restarts=2, iterations=5)
+    return S.fit_hmm(s, list(range(2, 9)), restarts=20, iterations=500, tolerance=1e-4)

@@ -70,6 +70,47 @@ def test_viterbi_equals_full_search(spark):
     assert v.score == pytest.approx(best[0]) and v.state == best[1]
 
 
+def test_baum_welch_equals_sums_over_paths(spark):
+    import itertools
+
+    import numpy as np
+
+    seqs, k, m, rounds = [np.array(x) for x in ([0, 1, 1, 2], [2, 0], [1, 1, 0])], 2, 3, 4
+    rng = np.random.default_rng(42)
+    pi, a, b = rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k), rng.dirichlet(np.ones(m), k)
+    total = 0.0
+    for turn in range(rounds + 1):
+        n_pi, n_a, n_b, total, best = np.zeros(k), np.zeros((k, k)), np.zeros((k, m)), 0.0, []
+        for x in seqs:
+            paths = list(itertools.product(range(k), repeat=len(x)))
+            p = [pi[s[0]] * math.prod(b[i, o] for i, o in zip(s, x)) * math.prod(a[i, j] for i, j in zip(s, s[1:])) for s in paths]
+            best += paths[int(np.argmax(p))]
+            total += math.log(sum(p))
+            for s, w in zip(paths, p):
+                n_pi[s[0]] += w / sum(p)
+                for i, o in zip(s, x):
+                    n_b[i, o] += w / sum(p)
+                for i, j in zip(s, s[1:]):
+                    n_a[i, j] += w / sum(p)
+        if turn < rounds:
+            pi, a, b = n_pi / n_pi.sum(), n_a / n_a.sum(axis=1, keepdims=True), n_b / n_b.sum(axis=1, keepdims=True)
+    got = S._baum_welch(seqs, k, m, 42, rounds, -1.0)
+    assert got[0] == pytest.approx(total, abs=1e-7) and all(np.allclose(x, y, atol=1e-7) for x, y in zip(got[1:], (pi, a, b)))
+    rows = spark.createDataFrame([("g", c, [str(o) for o in x]) for c, x in enumerate(seqs)], "condition string, conv int, symbols array<string>")
+    row = S.fit_hmm(rows, [2], restarts=1, iterations=rounds, tolerance=-1.0).first()
+    assert row.log_likelihood == pytest.approx(total, abs=1e-7) and row.distinct_optima == 1
+    assert row.min_occupancy == pytest.approx(min(best.count(i) for i in range(k)) / len(best)) and row.min_pairwise_tv == pytest.approx(np.abs(b[0] - b[1]).sum() / 2, abs=1e-7)
+
+
+def test_model_selection_is_registered_whole(spark, monkeypatch):
+    from colloquy.plans import catalogue
+
+    asked = []
+    monkeypatch.setattr(catalogue.S, "fit_hmm", lambda s, states, **more: asked.append((states, more)))
+    catalogue.QUERIES["hmm_model_selection"](spark, "/root/testdata/sf0.001")
+    assert asked == [([2, 3, 4, 5, 6, 7, 8], {"restarts": 20, "iterations": 500, "tolerance": 1e-4})]
+
+
 def test_words_and_final_punctuation(spark):
     rows = spark.createDataFrame([("",), ("  ",), ("a b",), ('He said "x."',), ("no",)], "t string")
     got = rows.select(words(F.col("t")).alias("w"), final_punctuation(F.col("t")).alias("f")).collect()
