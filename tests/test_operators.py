@@ -102,6 +102,17 @@ def test_baum_welch_equals_sums_over_paths(spark):
     assert row.min_occupancy == pytest.approx(min(best.count(i) for i in range(k)) / len(best)) and row.min_pairwise_tv == pytest.approx(np.abs(b[0] - b[1]).sum() / 2, abs=1e-7)
 
 
+def test_one_transition_among_twenty_cells_can_pass(spark, monkeypatch):
+    from colloquy.plans import texts
+
+    # All labels follow each other alike in c0 and c1, but that a is followed by b far more often in c1.
+    walk = [x for i in "abcde" for j in "abcde" if i != j for x in (i, j)] * 2
+    rows = [(c, f"{c}{k}", 10 * k + i, i, x) for c in ("c0", "c1") for k in range(12) for i, x in enumerate(walk + ["a", "b"] * (40 if c == "c1" else 0))]
+    monkeypatch.setattr(texts, "spans", lambda *_: spark.createDataFrame(rows, "condition string, conv string, span int, ts int, label string"))
+    got = texts.transition_fdr_2000(spark, "").collect()
+    assert min(r.p for r in got) <= 0.1 / 20 and any(r.bh for r in got)
+
+
 def test_model_selection_is_registered_whole(spark, monkeypatch):
     from colloquy.plans import catalogue
 
