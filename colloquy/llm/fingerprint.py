@@ -2,7 +2,7 @@
 
 A text is the multiset of its paragraphs (lines; blank ones do not count).  Every paragraph is hashed to a
 wide vector, and the fingerprint is the sum of the vectors: EXACT lanes of 64 bits, summed modulo 2**64,
-from a cryptographic hash of the paragraph, and LIKE lanes of 16 bits, summed modulo 2**16, in which each
+from a cryptographic hash of the paragraph, and LIKE lanes of 32 bits, summed modulo 2**32, in which each
 adjacent word pair of the paragraph adds plus or minus one by hash.  So fingerprints do not depend on the
 order of the paragraphs, and paragraphs are inserted and deleted by adding and subtracting
 (:func:`combine`).  Equal multisets have equal fingerprints; the EXACT lanes decide equality, the LIKE
@@ -54,23 +54,23 @@ def vector(text: str | None) -> tuple[np.ndarray, np.ndarray]:
                 k = _memo[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) | 1
             ids.append(k)
         ids.append(0)
-    like = np.zeros(LIKE, np.uint16)
+    like = np.zeros(LIKE, np.uint32)
     if len(ids) > 1:
         code = np.array(ids, np.uint64)
         pairs = ((code[:-1] * np.uint64(0x9E3779B97F4A7C15) + code[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(48)).astype(np.int64)
         for start in range(0, len(pairs), 1 << 15):
             at, n = np.unique(pairs[start : start + (1 << 15)], return_counts=True)
-            like += (n.astype(np.float32) @ _sign_table()[at].astype(np.float32)).astype(np.int64).astype(np.uint16)
+            like += (n.astype(np.float32) @ _sign_table()[at].astype(np.float32)).astype(np.int64).astype(np.uint32)
     return exact, like
 
 
 def encode(lanes: tuple[np.ndarray, np.ndarray]) -> str:
-    return base64.b64encode(lanes[0].astype("<u8").tobytes() + lanes[1].astype("<u2").tobytes()).decode()
+    return base64.b64encode(lanes[0].astype("<u8").tobytes() + lanes[1].astype("<u4").tobytes()).decode()
 
 
 def decode(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     raw = base64.b64decode(fingerprint)
-    return np.frombuffer(raw[: 8 * EXACT], "<u8"), np.frombuffer(raw[8 * EXACT :], "<u2")
+    return np.frombuffer(raw[: 8 * EXACT], "<u8"), np.frombuffer(raw[8 * EXACT :], "<u4")
 
 
 def combine(fingerprint: str, inserted: str | None = None, deleted: str | None = None) -> str:
@@ -85,7 +85,7 @@ def combine(fingerprint: str, inserted: str | None = None, deleted: str | None =
 def lanes_likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     if (a[0] == b[0]).all() and (a[1] == b[1]).all():
         return 1.0
-    x, y = a[1].astype(np.int16).astype(np.float64), b[1].astype(np.int16).astype(np.float64)
+    x, y = a[1].astype(np.int32).astype(np.float64), b[1].astype(np.int32).astype(np.float64)
     norm = (x @ x + y @ y) / 2
     return float(min(1.0, max(0.0, x @ y / norm))) if norm else 0.0
 

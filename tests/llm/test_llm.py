@@ -285,6 +285,15 @@ def test_fingerprint_is_a_multiset_hash():
     assert of(None) == of("") and fingerprint.likeness(of(""), of("")) == 1 and fingerprint.likeness(of(a), of("")) == 0
 
 
+def test_likeness_of_many_equal_pairs(spark):
+    of = lambda t: fingerprint.encode(fingerprint.vector(t))
+    a, b = "word " * 60_000, "word " * 30_000
+    assert fingerprint.likeness(of(a), of(b)) == pytest.approx(0.8, abs=0.01)  # 2ab / (a² + b²)
+    assert fingerprint.combine(of(a), inserted="x y", deleted="x y") == of(a) and fingerprint.likeness(of(a), fingerprint.combine(of(a), inserted=b)) > 0.9
+    got = fingerprint.fingerprints_with_edits(spark.createDataFrame([(1, a), (2, "q")], "doc_id long, text string")).where("doc_id = 1").first()
+    assert got.near_edited == pytest.approx(0.8, abs=0.3) and got.near_edited > 0.5
+
+
 def test_fingerprints_with_edits(spark):
     rows = [(k, t) for k, t in enumerate([None, "", "ab\ncde", "x" * 31, "long " * 500, "q"])] + [(50 + k, f"text {k} of several") for k in range(40)]
     got = {r.doc_id: r for r in fingerprint.fingerprints_with_edits(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
