@@ -34,6 +34,8 @@ SLICE = 1 << 20
 STEPS = 8
 PENALTY = 1.0
 SETS = 3
+#: Words from which a text counts for the deviation between texts; the least deviation, in nats a letter.
+LONG, LEAST = 20, 0.1
 
 _letters: np.ndarray | None = None
 
@@ -43,6 +45,8 @@ class LanguageModel:
     languages: tuple[str, ...]
     #: (2 ** BITS, languages) log probabilities.
     table: np.ndarray
+    #: Of each language's learned texts: mean of the words' evidence, its deviation between texts, and between words.
+    evidence: tuple[tuple[float, float, float], ...] = ()
 
 
 def _letter_table() -> np.ndarray:
@@ -97,7 +101,25 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     counts = np.full((1 << BITS, len(languages)), 0.5)
     for one, n in got:
         counts[:, languages.index(one)] += np.frombuffer(n, "<i8")
-    return LanguageModel(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    model = LanguageModel(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
+
+    def calibrate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for t, one in zip(batch["t"], batch["l"]):
+                n, total, squares = word_evidence(t, model)
+                if n:
+                    own = total / n
+                    sums[one] = sums.get(one, np.zeros(6)) + [n, total, squares, *((1, own, own * own) if n >= LONG else (0, 0, 0))]
+        if sums:
+            yield pd.DataFrame({"l": list(sums), "x": [v.tolist() for v in sums.values()]})
+
+    sums = dict.fromkeys(languages, np.zeros(6))
+    for one, x in picked.select("t", "l").repartition(8).mapInPandas(calibrate, "l string, x array<double>").collect():
+        sums[one] = sums[one] + x
+    spread = lambda n, total, squares: max(LEAST, float(np.sqrt(max(0.0, squares / n - (total / n) ** 2)))) if n else LEAST
+    known = tuple((x[1] / x[0], spread(*x[3:]), spread(*x[:3])) if x[0] else (0.0, LEAST, LEAST) for x in (sums[one] for one in languages))
+    return LanguageModel(languages, model.table, known)
 
 
 def _mix(like: np.ndarray, doc: np.ndarray, starts: np.ndarray, pi: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +163,47 @@ def infer(texts: list[str], model: LanguageModel) -> tuple[np.ndarray, np.ndarra
 
 
 def _word_likelihoods(text: str, model: LanguageModel) -> Iterator[np.ndarray]:
-    """(words, languages) log-likelihoods of a whole text, slice by slice; slices end at a blank where they can."""
+    """(words, languages) log-likelihoods of a whole text, slice by slice."""
+    for likelihoods, _ in _words(text, model):
+        yield likelihoods
+
+
+def word_evidence(text: str | None, model: LanguageModel) -> tuple[int, float, float]:
+    """Number, sum and sum of squares of the words' evidence: their best log-likelihood of any language, a letter."""
+    n, total, squares = 0, 0.0, 0.0
+    for likelihoods, letters in _words(text or "", model):
+        own = likelihoods.max(axis=1).astype(np.float64) / letters
+        n, total, squares = n + len(own), total + float(own.sum()), squares + float(own @ own)
+    return n, total, squares
+
+
+def surprise(text: Column | str, lang: Column | str, model: LanguageModel) -> Column:
+    """By how many deviations a text's words are less likely than those of the learned texts of ``lang``; null without words.
+
+    It does not depend on how the other languages do, so texts of languages that were never learned stand out.
+    The deviation is that between texts and, for short texts, between words.
+    """
+
+    @pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        known = dict(zip(model.languages, model.evidence))
+        for texts, langs in batches:
+            out = []
+            for t, one in zip(texts, langs):
+                n, total, _ = word_evidence(t, model) if one in known else (0, 0.0, 0.0)
+                if n:
+                    mean, between, within = known[one]
+                    out.append((mean - total / n) / (between**2 + within**2 / n) ** 0.5)
+                else:
+                    out.append(None)
+            yield pd.Series(out, dtype="float64")
+        give_back()
+
+    return run(text, lang)
+
+
+def _words(text: str, model: LanguageModel) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Log-likelihoods (words, languages) and letters of a text's words, slice by slice; slices end at a blank where they can."""
     start = 0
     while start < len(text):
         end = start + SLICE
@@ -150,7 +212,7 @@ def _word_likelihoods(text: str, model: LanguageModel) -> Iterator[np.ndarray]:
             end = cut if cut > start else end
         grams, first, _ = _trigrams(_codes(text[start:end]))
         if len(first):
-            yield np.add.reduceat(model.table[grams], first, axis=0)
+            yield np.add.reduceat(model.table[grams], first, axis=0), np.diff(np.append(first, len(grams)))
         start = end
 
 

@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from colloquy.llm import jaccard, langid, mixing, packing, queries, toxicity
 from colloquy.llm.common import table, written
 
-#: A document whose best language has a smaller share of its words is of no language.
-MIN_SHARE = 0.34
+#: A document whose words are less likely than its language's learned texts by so many deviations is of no learned language.
+SURPRISE = 5.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, and those of which no language has a third."""
+    """Drop documents without a letter, and those whose words are too unlikely in every learned language."""
     model = queries.language_model(spark, sf_dir)
     found = docs.withColumn("__l", langid.predict("text", model))
-    return found.where(f"__l.lang <> '{langid.UNDETERMINED}' and __l.score >= {MIN_SHARE}").select(*docs.columns)
+    found = found.where(f"__l.lang <> '{langid.UNDETERMINED}'").withColumn("__s", langid.surprise("text", "__l.lang", model))
+    return found.where(f"__s < {SURPRISE}").select(*docs.columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,9 +29,16 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest document of each component of linked documents."""
-    kept = jaccard.join(docs).where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("__k"))
-    return docs.join(kept.distinct(), docs["doc_id"].eqNullSafe(F.col("__k")), "left_semi")
+    """Keep one row of each component of linked rows: that of the smallest document, by hash of the row among equal ids.
+
+    The join sees rows by a key of their own, so repeated and null ids are rows like others.
+    """
+    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = jaccard.join(rows, key="__row").select(F.col("doc_id").alias("__row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "__row")
+    ranked = rows.select("__row", order.alias("o")).join(found, "__row")
+    kept = ranked.groupBy("component_id").agg(F.min("o").getField("__row").alias("__row"))
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -413,6 +413,32 @@ def test_jaccard_edges(spark):
 # -- pipeline ---------------------------------------------------------------------------------------------
 
 
+def test_pipeline_drops_languages_never_learned(spark):
+    import corpus_pipeline
+
+    docs = table(spark, SF, "documents")
+    rng = np.random.default_rng(12)
+    odd = [sentences(rng, 60, ["qxzzkv", "wjqqyx", "kzvxj", "bqxwz", "zzqjk"]), sentences(rng, 40, ["данные", "город", "река", "слово"]), "?? 12"]
+    rows = spark.createDataFrame([(10**9 + k, t) for k, t in enumerate(odd)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").union(rows)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, both, SF).select("doc_id").collect()}
+    wanted = {r.doc_id for r in docs.where("text rlike '[a-zA-Z]'").select("doc_id").collect()}
+    assert not any(10**9 + k in kept for k in range(3)) and len(wanted - kept) <= 0.01 * len(wanted)
+
+
+def test_near_duplicates_keep_one_row(spark):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(13)
+    a, b, c, d = (sentences(rng, 60, [f"v{k}" for k in range(200)]) for _ in range(4))
+    rows = [(1, a), (1, a), (1, a), (2, a + " more"), (3, b), (3, c), (None, c), (None, c + " end"), (None, d), (None, d + " end"), (None, None), (None, "")]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), SF).collect()
+    key = lambda r: (r[0] or 0, r[1] or "")
+    plain = sorted(((r.doc_id, r.text) for r in got if r.text and not r.text.startswith(d)), key=key)
+    assert plain == sorted([(1, a), (3, b), (3, c)], key=key)
+    assert sum(bool(r.text and r.text.startswith(d)) for r in got) == 1 and sum(not r.text for r in got) == 2
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
