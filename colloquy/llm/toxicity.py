@@ -1,8 +1,9 @@
 """Toxicity scores from a lexicon trie, Levenshtein automata and context windows.
 
 The lexicon is learned: words, and word beginnings (stems), that are far more frequent among the toxic
-documents of a bounded labelled sample.  A trie holds it; its product with the automaton that accepts
-strings within one edit is determinised lazily, state by state, so a token is classed by one walk that
+documents of a bounded labelled sample.  A trie holds it; its product with the automata that accept strings
+within one edit (terms of 4 letters or more) or two (of 8 or more), swapped neighbours being one edit, is
+determinised lazily, state by state, so a token is classed by one walk that
 mostly ends after a few letters.  Tokens that the sample's clean documents use are known not to be
 misspellings.  A hit's context window decides whether it is a quotation (quotation marks around it, or
 reporting words near it) or an attack (second person near it).  A logistic regression with prior weights,
@@ -33,11 +34,16 @@ FIT_DOCS = 12000
 MAX_TERMS = 400
 MIN_DOCS = 4
 STEM = (4, 8)
-#: Letters that a term needs for a misspelling to count.
-FUZZY_FROM = 5
+#: Letters that a term needs for one edit to count, and for two.
+FUZZY_FROM, FUZZY_TWO = 4, 8
+#: States of an automaton that are kept; more begin anew, which bounds memory.
+STATES = 50_000
 WINDOW = 6
 MEMO = 150_000
-WORD = re.compile(r"[^\W_]+(?:[@$!*'’][^\W_]+)*")
+WORD = re.compile(r"[@$!*]?[^\W_]+(?:[@$!*'’][^\W_]+)*")
+#: Letters that a mask before a word stands for.
+MASKS = {"@": "a", "$": "s", "!": "i"}
+OWNER = re.compile(r"['’]s?$")
 QUOTES = "\"“”„«»‘"
 REPORTING = frozenset("said says wrote quoted called cited reported quote word term dit écrit sagte schrieb dijo escribió".split())
 SECOND_PERSON = frozenset("you your you're youre ur du dich dein tu toi vous ton tú usted te".split())
@@ -55,11 +61,15 @@ class ToxicityModel:
 
 
 class Matcher:
-    """The lexicon trie intersected with the one-edit Levenshtein automaton, determinised on demand."""
+    """The lexicon trie intersected with the Levenshtein automaton of ``edits`` edits, determinised on demand.
+
+    With ``swaps``, exchanged neighbours are one edit.
+    """
 
     EXACT, STEMMED, FUZZY = 3, 2, 1
 
-    def __init__(self, words: frozenset[str], stems: frozenset[str]):
+    def __init__(self, words: frozenset[str], stems: frozenset[str], edits: int = 1, swaps: bool = False):
+        self.edits, self.swaps = edits, swaps
         self.next: list[dict[str, int]] = [{}]
         self.kind = [0]
         self.depth = [0]
@@ -74,47 +84,65 @@ class Matcher:
                         self.depth.append(self.depth[node] + 1)
                     node = self.next[node][c]
                 self.kind[node] = kind
-        #: States of the product: sets of (node, edits used), closed under deletions of a term's letter.
+        #: Letters of the longest word behind a node: pairs whose edits no such word allows are dropped.
+        self.far = [d if k == self.EXACT else 0 for k, d in zip(self.kind, self.depth)]
+        for node in range(len(self.next) - 1, -1, -1):  # children come after their parents
+            self.far[node] = max([self.far[node], *(self.far[x] for x in self.next[node].values())])
+        self._begin()
+
+    def _begin(self) -> None:
+        #: States of the product: sets of (node, edits used, letter that ends a swap), closed under deletions of a term's letter.
         self.ids: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.moves: list[dict[str, int]] = []
         self.accepts: list[int] = []
-        self.start = self._state({(0, 0)})
+        self.start = self._state({(0, 0, "")})
 
     def _state(self, pairs: set) -> int:
-        closed = {p for p in pairs}
-        for node, used in pairs:
-            if used == 0:
-                closed |= {(child, 1) for child in self.next[node].values()}
-        key = frozenset((n, u) for n, u in closed if u == 0 or (n, 0) not in closed)
+        far, least = self.far, (0, FUZZY_FROM, FUZZY_TWO)
+        closed = {p for p in pairs if not p[1] or far[p[0]] >= least[p[1]]}
+        fresh = closed
+        while fresh:
+            fresh = {(child, used + 1, "") for node, used, owed in fresh if used < self.edits and not owed for child in self.next[node].values() if far[child] >= least[used + 1]} - closed
+            closed = closed | fresh
+        key = frozenset((n, u, o) for n, u, o in closed if not (u and (n, 0, o) in closed or u == 2 and (n, 1, o) in closed))
         if key not in self.ids:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            self.accepts.append(max((self._accept(n, u) for n, u in key), default=0))
+            self.accepts.append(max((self._accept(n, u) for n, u, o in key if not o), default=0))
         return self.ids[key]
 
     def _accept(self, node: int, used: int) -> int:
         kind = self.kind[node]
         if used == 0:
             return kind
-        return self.FUZZY if kind == self.EXACT and self.depth[node] >= FUZZY_FROM else 0
+        return self.FUZZY if kind == self.EXACT and self.depth[node] >= (FUZZY_FROM if used == 1 else FUZZY_TWO) else 0
 
     def _move(self, state: int, c: str) -> int:
         pairs = set()
-        for node, used in self.sets[state]:
+        for node, used, owed in self.sets[state]:
+            if owed:
+                if owed == c:
+                    pairs.add((node, used, ""))
+                continue
             child = self.next[node].get(c)
             if child is not None:
-                pairs.add((child, used))
-            if used == 0:
-                pairs.add((node, 1))  # a letter too many
-                pairs |= {(x, 1) for x in self.next[node].values()}  # another letter
+                pairs.add((child, used, ""))
+            if used < self.edits:
+                pairs.add((node, used + 1, ""))  # a letter too many
+                for letter, x in self.next[node].items():
+                    pairs.add((x, used + 1, ""))  # another letter
+                    if self.swaps and letter != c and c in self.next[x]:
+                        pairs.add((self.next[x][c], used + 1, letter))
         to = self._state(pairs) if pairs else -1
         self.moves[state][c] = to
         return to
 
     def match(self, token: str) -> int:
-        """EXACT for a word of the lexicon, STEMMED if a stem begins the token, FUZZY within one edit of a word, else 0."""
+        """EXACT for a word of the lexicon, STEMMED if a stem begins the token, FUZZY within its edits of a word, else 0."""
+        if len(self.sets) > STATES:
+            self._begin()
         state, node, stem = self.start, 0, 0
         for c in token:
             if node >= 0:
@@ -128,9 +156,40 @@ class Matcher:
         return max(self.accepts[state], stem)
 
 
-def _matcher(model: ToxicityModel) -> Matcher:
+class Lexicon:
+    """One edit from FUZZY_FROM letters, two from FUZZY_TWO; a first letter may be masked, and an owner's s is no letter."""
+
+    def __init__(self, words: frozenset[str], stems: frozenset[str]):
+        self.one = Matcher(words, stems, 1, True)
+        long = frozenset(w for w in words if len(w) >= FUZZY_TWO)
+        self.two = Matcher(long, frozenset(), 2, True) if long else None
+        self.longest = max(map(len, long), default=0) + 2
+
+    def match(self, token: str) -> int:
+        kind = self.one.match(token)
+        if kind == 0 and self.two and FUZZY_TWO - 2 <= len(token) <= self.longest:
+            kind = self.two.match(token)
+        return kind
+
+    def classify(self, token: str, clean: frozenset[str]) -> int:
+        """The match of a token of a text, if it is no misspelling that the clean documents use."""
+        if token.isalnum():
+            kind = self.match(token)
+            return 0 if kind == Matcher.FUZZY and token in clean else kind
+        whole = OWNER.sub("", token)
+        bare = whole.lstrip("@$!*")
+        best = 0
+        for form in dict.fromkeys((bare, whole, MASKS.get(whole[:1], "") + bare, token.lstrip("@$!*"))):
+            kind = self.match(form)
+            if kind == Matcher.FUZZY and (form in clean or bare in clean):
+                kind = 0
+            best = max(best, kind)
+        return best
+
+
+def _matcher(model: ToxicityModel) -> Lexicon:
     if "matcher" not in model.memo:
-        model.memo["matcher"] = Matcher(model.words, model.stems)
+        model.memo["matcher"] = Lexicon(model.words, model.stems)
         model.memo["kinds"] = {}
     return model.memo["matcher"]
 
@@ -150,9 +209,7 @@ def features(text: str | None, model: ToxicityModel) -> np.ndarray:
         if kind is None:
             if len(kinds) > MEMO:
                 kinds.clear()
-            kind = matcher.match(token)
-            if kind == Matcher.FUZZY and token in model.clean:
-                kind = 0
+            kind = matcher.classify(token, model.clean)
             kinds[token] = kind
         if kind:
             hits.append((k, kind))
@@ -199,7 +256,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
         if not any(t["w"].startswith(s) for s in kept) and max((w["toxic"] for w in chosen if w["w"].startswith(t["w"])), default=0) < 0.5 * t["toxic"]:
             kept.append(t["w"])
     model = ToxicityModel(frozenset(w["w"] for w in chosen), frozenset(kept[:MAX_TERMS]))
-    matcher = Matcher(model.words, model.stems)
+    matcher = Lexicon(model.words, model.stems)
 
     def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

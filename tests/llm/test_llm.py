@@ -84,6 +84,40 @@ def test_automaton_equals_edit_distance():
         assert m.match(w) == want, w
 
 
+def osa(a, b):
+    d = {(i, j): max(i, j) for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a), len(b)]
+
+
+def test_lexicon_equals_edit_distance_with_swaps():
+    words = frozenset(["idiot", "scum", "worthless", "pathetic"])
+    m = toxicity.Lexicon(words, frozenset())
+    rng = np.random.default_rng(14)
+    for _ in range(3000):
+        w = list(rng.choice(sorted(words)))
+        for _ in range(rng.integers(0, 4)):
+            k = int(rng.integers(0, len(w)))
+            if rng.integers(0, 2):
+                w[k : k + 2] = w[k : k + 2][::-1]
+            else:
+                w[k : k + int(rng.integers(0, 2))] = list(rng.choice(list("cdiostw"), rng.integers(0, 2)))
+        w = "".join(w) or "x"
+        want = 3 if w in words else 1 if any(osa(w, x) <= (len(x) >= 4) + (len(x) >= 8) for x in words) else 0
+        assert m.match(w) == want, w
+
+
+def test_misspelt_abuse_is_found():
+    model = toxicity.ToxicityModel(frozenset(["idiot", "moron", "scum", "worthless", "stupid"]), frozenset(), frozenset(["sum", "scam"]), (-4.0, 6.0, 6.0, 3.0, 0.5, 1.0, 0.0))
+    for t in ("idoit", "morno", "scun", "wortles", "$tupid", "$tupdi", "moron's", "moron’s", "@idiot", "*idiot*"):
+        assert toxicity.score(f"what a {t} here", model)[1] == 1, t
+    assert all(toxicity.score(t, model)[1] == 0 for t in ("sum", "the sum's scam", "worth less", "river"))
+
+
 def test_toxicity_held_out_and_edges(spark):
     rng = np.random.default_rng(2)
     clean = ["tree", "river", "house", "green", "cloud", "paper", "window"]
