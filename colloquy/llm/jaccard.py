@@ -10,17 +10,23 @@ a node's answers are computed once and hold for all its copies.  The steps, none
 2. A second pass indexes each node's prefix in that order (sets that reach the threshold share a prefix
    shingle).  Rare shingles travel as packed blocks, and the lists of a block are built by a numeric sort; a
    list with one node is dropped there.  Frequent ones travel as rows.
-3. Each list is first joined only between neighbours, by size and in a few hashed orders.  A candidate must pass the block of
-   sizes that can reach the threshold, the bound from its positions, and the bitmap bound (the parity
-   bitmaps' Hamming distance is at most the symmetric difference), and is then verified on the whole sets.
-   Links make components, and a second round compares neighbours of different components.
-4. A set highly similar to computed ones inherits their answers: pairs inside a component are skipped, and
-   whole lists whose nodes are all of one component.  What is left in a list, pairs of different components,
-   is verified likewise, in a last round.
+3. Each list is joined between neighbours, by size and in a few hashed orders.  A candidate must pass the bounds
+   of sizes and positions and the bitmap bound (the parity bitmaps' Hamming distance is at most the symmetric
+   difference), and is then verified on the whole sets.  Links make components.  Pairs inside a component need
+   no answer of their own, so lists whose nodes are all of one component are left out from here on.
+4. Short lists (SMALL nodes) give their pairs of different components, which are verified likewise.
+5. Long lists are cut into blocks.  Lists with the same hub (the node with most links) hold mostly the same
+   nodes and are merged, so that a pair is seen once and not once a list.  A block is a range of sizes; a pair of
+   blocks is skipped as a whole if its sizes, or the positions that its nodes have in their lists, rule out
+   every pair.  Inside a pair of blocks one set is the pivot: the answers of all others are computed against it,
+   and those of two others are derived from these.  Two sets whose differences from the pivot are together
+   small link; if they differ much in size they do not; else the symmetric difference of the two differences,
+   which are far smaller than the sets, decides.  Only links that join two components are returned, at most as
+   many as a block pair has sets, so that nothing grows with the square of a list.
 
 Defined results: null, empty and blank texts have no shingle, n_shingles 0, and are their own component;
 texts of fewer words than a shingle have one; ties and repeated rows link as equal sets do; null ids form
-rows with their own id null; an empty table gives none.  Long texts are shingled whole.
+rows with their own id null and link like others; an empty table gives none.  Long texts are shingled whole.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,8 +53,14 @@ BITMAP = 512
 SEEN = 1 << 25
 #: Hashed orders in which neighbours of an index list are compared in the first round.
 ORDERS = 3
-#: Rounds of neighbours before all pairs of different components.
-ROUNDS = 2
+#: Nodes of a list from which on it is compared by blocks, and of a list's share in a round of neighbours.
+SMALL, LONG = 16, 4096
+#: Sets and shingles of a block, about.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 200_000
+#: Bands of sizes a doubling, by which blocks are cut.
+BANDS = 8
+#: Index entries that one task sorts, about.
+ENTRIES = 2_000_000
 #: Edges that one task contracts.
 EDGES = 250_000
 
@@ -308,11 +321,9 @@ def _could_reach(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "a_size", "b_size", "a_bitmap", "b_bitmap").mapInPandas(check, "a long, b long")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs that link, by the whole sets of both, which are shingled again from the nodes' smallest documents."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
-    needed = nodes.select("node", "rep").join(ends, "node", "left_semi")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _sets(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """``node, grams`` of the wanted nodes (and of some more), shingled again from the nodes' smallest documents."""
+    needed = nodes.select("node", "rep").join(wanted, "node", "left_semi")
 
     def flags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = np.zeros(SEEN, bool)
@@ -323,34 +334,52 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, p
 
     # A filter of fixed size (SEEN bits) over the wanted documents; what else it lets through meets no pair.
     bits = np.zeros(SEEN // 8, np.uint8)
-    for _, raw in needed.select("rep").coalesce(8).mapInPandas(flags, "part int, bits binary").toLocalIterator():
+    for _, raw in needed.select("rep").where("rep is not null").coalesce(8).mapInPandas(flags, "part int, bits binary").toLocalIterator():
         bits |= np.frombuffer(raw, np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
             slot = _slot(f["k"].to_numpy(np.int64))
-            f = f[((shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)]
-            grams = [shingles(t, shingle) for t in f["t"]]
+            # A node without any id has no smallest document, so texts without an id all pass.
+            f = f[f["no_k"].to_numpy(bool) | ((shared.value[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1).astype(bool)]
+            grams = [g for g in (shingles(t, shingle) for t in dict.fromkeys(f["t"])) if len(g)]
             if grams:
                 yield pd.DataFrame({"node": np.array([node_of(g) for g in grams], np.int64), "grams": [g.tobytes() for g in grams]})
+        give_back()
+
+    rows = docs.where("t is not null").select(F.coalesce("k", F.lit(0)).alias("k"), F.col("k").isNull().alias("no_k"), "t")
+    return rows.mapInPandas(sets, "node long, grams binary")
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """The size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    at = np.searchsorted(y, x)
+    return int((y[np.minimum(at, len(y) - 1)] == x).sum())
 
-    found = docs.where("k is not null and t is not null").mapInPandas(sets, "node long, grams binary").repartition(parts, "node")
+
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link, by the whole sets of both."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
             keep = np.zeros(len(f), bool)
             for k, (x, y) in enumerate(zip(f["a_grams"], f["b_grams"])):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
+                both = _common(x, y)
                 keep[k] = 100 * both >= percent * (len(x) + len(y) - both)
             yield f.loc[keep, ["a", "b"]]
 
-    of = lambda side: found.select(F.col("node").alias(side), F.col("grams").alias(f"{side}_grams"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_grams", "b_grams").mapInPandas(check, "a long, b long")
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("grams").alias(f"{side}_grams"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_grams", "b_grams").mapInPandas(check, "a long, b long").distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
 
 
 def _slot(ids: np.ndarray) -> np.ndarray:
@@ -361,8 +390,9 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of the undirected ``a, b`` edges; the root is the smallest node of its component.
 
     Rounds of partition-local union-find, dealt out by the smaller and then by the larger end, until no edge
-    changes.  A task holds about EDGES edges; what fits into one task is contracted there at once.  The edges are
-    read twice (counted, contracted), so they should be a written table; repeated edges do no harm.
+    changes.  A task holds about EDGES edges: a root with more is dealt over several tasks, which any contraction
+    allows; what fits into one task is contracted there at once.  The edges are read twice (counted, contracted),
+    so they should be a written table; repeated edges do no harm.
     """
 
     def contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -394,7 +424,9 @@ def components(edges: DataFrame) -> DataFrame:
         if parts <= 1:  # one task's share: contracted at once
             edges = written(edges.coalesce(1).mapInPandas(contract, "a long, b long"))
             break
-        by_low = edges.repartition(parts, "b").mapInPandas(contract, "a long, b long")
+        heavy = edges.groupBy("b").count().where(f"count > {EDGES}").select("b", F.ceil(F.col("count") / EDGES).alias("shares"))
+        dealt = edges.join(heavy, "b", "left").withColumn("share", F.when(F.col("shares").isNotNull(), F.pmod(F.xxhash64("a"), "shares")).otherwise(F.lit(0)))
+        by_low = dealt.repartition(parts, "b", "share").select("a", "b").mapInPandas(contract, "a long, b long")
         edges = written(by_low.distinct().repartition(parts, "a").mapInPandas(contract, "a long, b long").distinct())
         # Done when every node has one parent, and parents have none.
         twice = edges.groupBy("a").count().where("count > 1").select("a")
@@ -404,6 +436,153 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b")).distinct()
 
 
+#: A pair's columns, from structs a and b; and its nodes, the smaller first.
+_FLAT = [f"{s}.{c} as {s}_{c}" if c != "node" else f"{s}.node as {s}" for s in "ab" for c in ("node", "size", "pos")]
+_SORTED = ["least(a, b) as a", "greatest(a, b) as b"]
+
+
+def _neighbours(lists: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of neighbours in the index lists, by size and in ORDERS hashed orders, that pass the bounds.
+
+    A list longer than LONG is dealt into shares, by size or by hash, as neighbours need no whole list.
+    """
+    long = lists.groupBy("token").agg(F.count("*").alias("n")).where(f"n > {LONG}").select("token", F.ceil(F.col("n") / LONG).alias("shares"))
+    rows = lists.select("token", F.struct("node", "size", "pos").alias("x")).join(long, "token", "left")
+    hashed = [F.xxhash64("x.node", F.lit(k)) for k in range(ORDERS)]
+    orders = [(F.floor(F.log2("x.size") * BANDS), ("x.size", "x.node")), *((h, (h, "x.node")) for h in hashed)]
+    share = lambda by: F.when(F.col("shares").isNotNull(), F.pmod(by, "shares"))
+    ahead = [F.lead("x").over(Window.partitionBy("token", share(by)).orderBy(*order)).alias(f"b{k}") for k, (by, order) in enumerate(orders)]
+    near = rows.select(F.col("x").alias("a"), *ahead)
+    near = near.select("a", F.explode(F.array_distinct(F.array(*near.columns[1:]))).alias("b")).where("b is not null")
+    return near.selectExpr(*_FLAT).where(_fits(percent)).selectExpr(*_SORTED).distinct()
+
+
+def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Index entries ``token, x, c, n`` of lists with several components: entry, its component, the list's length."""
+    labelled = lists.select("token", F.struct("node", "size", "pos").alias("x")).join(roots.withColumnRenamed("node", "n"), F.col("x.node") == F.col("n"), "left")
+    labelled = labelled.select("token", "x", F.coalesce("root", "x.node").alias("c"))
+    spread = labelled.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high").select("token", "n")
+    return written(labelled.join(spread, "token"))
+
+
+def _short(entries: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of different components in short lists that pass the bounds of size, position and folded bitmaps."""
+    bits = [f"s{k}" for k in range(4)]
+    signed = entries.join(nodes.select(F.col("node").alias("m"), F.struct(*bits).alias("s")), F.col("x.node") == F.col("m"))
+    left = signed.select("token", F.col("x").alias("a"), F.col("c").alias("a_c"), F.col("s").alias("a_s"))
+    right = signed.select(F.col("token").alias("t"), F.col("x").alias("b"), F.col("c").alias("b_c"), F.col("s").alias("b_s"))
+    apart = " + ".join(f"bit_count(a_s.{c} ^ b_s.{c})" for c in bits)
+    fits = _fits(percent)
+    for s in "ab":
+        for c in ("size", "pos"):
+            fits = fits.replace(f"{s}_{c}", f"{s}.{c}")
+    fits += f" and {100 + percent} * (a.size + b.size - ({apart})) >= {2 * percent} * (a.size + b.size)"
+    return left.join(right, F.expr(f"token = t and a_c <> b_c and a.node < b.node and {fits}")).selectExpr("a.node as a", "b.node as b").distinct()
+
+
+def _merged(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """Long lists as groups ``key, node, size, pos, c``: lists of one hub are one group, if that makes fewer pairs."""
+    degree = _ends(links).groupBy("node").agg(F.count("*").alias("degree")).withColumnRenamed("node", "m")
+    ranked = entries.join(degree, F.col("x.node") == F.col("m"), "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
+    hubs = ranked.groupBy("token").agg(F.max(F.struct("degree", F.col("x.node").alias("node"))).getField("node").alias("hub"))
+    rows = written(entries.join(hubs, "token").select("token", "hub", "x.*", "c"))
+    together = rows.groupBy("hub", "node").agg(F.min("pos").alias("pos"), F.first("size").alias("size"), F.first("c").alias("c"))
+    alone = rows.groupBy("hub", "token").agg(F.count("*").alias("n")).groupBy("hub").agg(F.sum(F.col("n") * F.col("n")).alias("pairs"))
+    merge = together.groupBy("hub").agg(F.count("*").alias("u")).join(alone, "hub").select("hub", (F.col("u") * F.col("u") <= F.col("pairs")).alias("merge"))
+    merge = written(merge)
+    one = together.join(merge.where("merge"), "hub").select(F.xxhash64("hub").alias("key"), "node", "size", "pos", "c")
+    own = rows.join(merge.where("not merge"), "hub").select(F.xxhash64("hub", "token").alias("key"), "node", "size", "pos", "c")
+    return written(one.union(own))
+
+
+def _blocked(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` that join components, from all pairs of a group, by pairs of blocks of similar size."""
+    most = f"greatest(n / {BLOCK_SETS}, total / {BLOCK_SHINGLES})"
+    total = [F.count("*").alias("n"), F.sum("size").alias("total")]
+    banded = groups.withColumn("band", F.floor(F.log2("size") * BANDS))
+    large = groups.groupBy("key").agg(*total).where(f"{most} > 1").select("key", F.lit(True).alias("large"))
+    banded = banded.join(large, "key", "left").withColumn("band", F.when(F.col("large"), F.col("band")).otherwise(F.lit(0)))
+    shares = banded.groupBy("key", "band").agg(*total).where(f"{most} > 1").select("key", "band", F.expr(f"cast(ceil({most}) as long) as shares"))
+    dealt = banded.join(shares, ["key", "band"], "left").withColumn("share", F.when(F.col("shares").isNotNull(), F.pmod(F.xxhash64("node"), "shares")).otherwise(F.lit(0).cast("long")))
+    dealt = written(dealt.select("key", F.struct("band", "share").alias("at"), "node", "size", "pos", "c"))
+    directory = dealt.groupBy("key", "at").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max(F.col("size") - F.col("pos")).alias("rest"), F.min("c").alias("c0"), F.max("c").alias("c1"))
+    of = lambda s: directory.select(F.col("key").alias(f"{s}_key"), *[F.col(x).alias(f"{s}_{x}") for x in directory.columns[1:]])
+    possible = f"a_key = b_key and a_at <= b_at and not (a_c0 = a_c1 and b_c0 = b_c1 and a_c0 = b_c0) and 100 * a_high >= {percent} * b_low and 100 * b_high >= {percent} * a_low and {100 + percent} * least(a_rest, b_rest) >= {percent} * (a_low + b_low)"
+    pairs = of("a").join(of("b"), F.expr(possible)).select(F.col("a_key").alias("key"), F.col("a_at").alias("first"), F.col("b_at").alias("second"))
+    blocks = dealt.join(sets, "node").groupBy("key", "at").agg(F.collect_list(F.struct("node", "size", "pos", "c", "grams")).alias("sets"))
+    both = pairs.join(blocks.select("key", F.col("at").alias("first"), F.col("sets").alias("a")), ["key", "first"])
+    both = both.join(blocks.select("key", F.col("at").alias("second"), F.col("sets").alias("b")), ["key", "second"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, same in zip(batch.column("a"), batch.column("b"), batch.column("same").to_pylist()):
+                found = block_links(_side(a), None if same else _side(b), percent)
+                yield pa.RecordBatch.from_pydict({"a": [min(x) for x in found], "b": [max(x) for x in found]}, schema=_PAIR)
+        give_back()
+
+    return both.select("a", "b", F.expr("first = second").alias("same")).mapInArrow(run, "a long, b long").distinct()
+
+
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _side(rows: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Nodes, sizes, positions, components and sets of a block, each node once."""
+    got = {r["node"]: r for r in rows.as_py()}
+    cols = [np.array([r[k] for r in got.values()], np.int64) for k in ("node", "size", "pos", "c")]
+    return *cols, [np.frombuffer(r["grams"], np.uint64) for r in got.values()]
+
+
+def block_links(a, b, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links between two blocks (or within one, if ``b`` is None) that join components, without a needless one.
+
+    Every set is compared with a pivot.  D, the symmetric difference of two sets, is that of their differences
+    from the pivot; sets link if D <= (100 - percent) / (100 + percent) of their sizes' sum.
+    """
+    sides = [a] if b is None else [a, b]
+    node, size, pos, c = (np.concatenate([s[k] for s in sides]) for k in range(4))
+    sets = [g for s in sides for g in s[4]]
+    pivot = sets[0]
+    apart = [np.setxor1d(g, pivot, assume_unique=True) for g in sets]
+    far = np.array([len(x) for x in apart], np.int64)
+    width = min(1 << 15, max(1 << 10, 1 << int(4 * far.max(initial=1) - 1).bit_length()))
+    bits = np.zeros((len(sets), width // 8), np.uint8)
+    for k, x in enumerate(apart):
+        places = (x >> np.uint64(20)).astype(np.int64) & (width - 1)
+        bits[k] = np.packbits((np.bincount(places, minlength=width) & 1).astype(np.uint8))
+    words = bits.view(np.uint64)
+    parent = {int(x): int(x) for x in c}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    n = len(sets) if b is None else len(a[0])
+    for i in range(n):
+        j = np.arange(i + 1, len(sets)) if b is None else np.arange(n, len(sets))
+        both = size[i] + size[j]
+        rest = np.minimum(size[i] - pos[i], size[j] - pos[j])
+        most = (100 - percent) * both // (100 + percent)  # the largest D that links
+        j_ok = (c[i] != c[j]) & (100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])) & ((100 + percent) * rest >= percent * both) & (np.abs(far[i] - far[j]) <= most)
+        j, most = j[j_ok], most[j_ok]
+        if not len(j):
+            continue
+        least = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64)
+        j, most, least = j[least <= most], most[least <= most], least[least <= most]
+        for k in np.argsort(least, kind="stable"):
+            other = int(j[k])
+            x, y = find(int(c[i])), find(int(c[other]))
+            if x == y or node[i] == node[other]:
+                continue
+            if far[i] + far[other] <= most[k] or far[i] + far[other] - 2 * _common(apart[i], apart[other]) <= most[k]:
+                parent[max(x, y)] = min(x, y)
+                out.append((int(node[i]), int(node[other])))
+    return out
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: ``doc_id, node, n_shingles, component_id``; ``node`` is the class of equal sets."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -411,47 +590,19 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int
     survey = _survey(docs, shingle, percent, parts)
     members = survey.where("counts is null").select(F.expr("if(no_k, null, k)").alias("k"), F.expr("if(size = 0, null, node)").alias("node"), "size")
     nodes = written(survey.where("size > 0").withColumn("k", F.expr("if(no_k, null, k)")).groupBy("node").agg(F.min("k").alias("rep"), *[F.first(c).alias(c) for c in ("size", "s0", "s1", "s2", "s3", "bitmap")]))
-    lists = _index(docs, _levels(survey), shingle, percent, parts)
-
-    flat = [F.col(f"{s}.{c}").alias(f"{s}_{c}" if c != "node" else s) for s in "ab" for c in ("node", "size", "pos")]
-    ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    tried = links = None
-    open_lists = lists.select("token", F.struct("node", "size", "pos").alias("x"), F.col("node").alias("c"))
-    for turn in range(ROUNDS):
-        # Neighbours by size, and in a few hashed orders, so that a group of similar sets is joined by many short ways.
-        orders = [("x.size", "x.node"), *((F.xxhash64("x.node", F.lit(k)), "x.node") for k in range(turn * ORDERS, (turn + 1) * ORDERS))]
-        ahead = [F.lead(F.struct("x", "c")).over(Window.partitionBy("token").orderBy(*by)).alias(f"b{k}") for k, by in enumerate(orders[bool(turn) :])]
-        near = open_lists.select(F.col("x").alias("a"), "c", *ahead)
-        near = near.select("a", "c", F.explode(F.array_distinct(F.array(*[c for c in near.columns if c[0] == "b"]))).alias("b"))
-        near = near.where("b is not null and b.c <> c").select("a", F.col("b.x").alias("b")).select(*flat).where(_fits(percent)).select(*ordered).distinct()
-        near = near if tried is None else near.join(tried, ["a", "b"], "left_anti")
-        could = written(_could_reach(near, nodes, percent))
-        found = written(_verify(could, docs, nodes, shingle, percent))
-        tried, links = (could, found) if tried is None else (tried.union(could), links.union(found))
-        roots = components(links)
-        # Lists whose nodes are all of one component are skipped from now on.
-        labelled = open_lists.join(roots.withColumnRenamed("node", "n"), F.col("x.node") == F.col("n"), "left").select("token", "x", F.coalesce("root", "x.node").alias("c"))
-        spread = labelled.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("token")
-        open_lists = written(labelled.join(spread, "token", "left_semi"))
-
-    # The folded bitmaps' bound is part of the join, so that pairs which cannot link are never made.
-    bits = [f"s{k}" for k in range(4)]
-    signed = open_lists.join(nodes.select(F.col("node").alias("n"), F.struct(*bits).alias("s")), F.col("x.node") == F.col("n"))
-    open_lists = signed.select("token", F.col("x").withField("s", F.col("s")).alias("x"), "c")
-    left = open_lists.select("token", F.col("x").alias("a"), F.col("c").alias("a_c"))
-    right = open_lists.select("token", F.col("x").alias("b"), F.col("c").alias("b_c"))
-    fits = _fits(percent)
-    for s in "ab":
-        for c in ("size", "pos"):
-            fits = fits.replace(f"{s}_{c}", f"{s}.{c}")
-    apart = " + ".join(f"bit_count(a.s.{c} ^ b.s.{c})" for c in bits)
-    fits += f" and {100 + percent} * (a.size + b.size - ({apart})) >= {2 * percent} * (a.size + b.size)"
-    rest = left.join(right, (left["token"] == right["token"]) & F.expr("a_c <> b_c and a.node < b.node") & F.expr(fits)).select(*flat).select("a", "b").distinct()
-    rest = rest.join(tried, ["a", "b"], "left_anti")
-    more = written(_verify(written(_could_reach(rest, nodes, percent)), docs, nodes, shingle, percent))
+    entries = nodes.agg(F.sum(F.floor(F.col("size") * (100 - percent) / 100) + 1)).first()[0] or 0
+    lists = _index(docs, _levels(survey), shingle, percent, max(parts, entries // ENTRIES + 1))
+
+    near = written(_could_reach(_neighbours(lists, percent), nodes, percent))
+    links = written(_verify(near, _sets(docs, _ends(near), nodes, shingle), percent))
+    still = _open(lists, components(links))
+    short = _short(still.where(f"n <= {SMALL}"), nodes, percent).join(near, ["a", "b"], "left_anti")
+    short = written(_could_reach(short, nodes, percent))
+    groups = _merged(still.where(f"n > {SMALL}"), links)
+    sets = written(_sets(docs, _ends(short).union(groups.select("node")).distinct(), nodes, shingle))
+    more = written(_verify(short, sets, percent).union(_blocked(groups, sets, percent)))
     roots = components(links.union(more))
 
     low = nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = low.join(low.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("node", "component_id")
     return members.join(low, "node", "left").select(F.col("k").alias("doc_id"), "node", F.col("size").alias("n_shingles"), F.coalesce("component_id", "k").alias("component_id"))
-

@@ -491,3 +491,67 @@ def test_pipeline_stages(spark):
         docs = kept
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.where("piece = 0").count() == docs.count()
+
+
+def brute_components(sets):
+    """Links between sets by their definition, and each set's smallest reachable index."""
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 100 * len(x & sets[j]) >= 75 * len(x | sets[j]) and find(i) != find(j):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(sets))]
+
+
+def test_block_links_equal_brute_force():
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 1 << 62, 120)
+    sets = []
+    for k in range(60):
+        drop = rng.integers(0, 30)
+        sets.append(frozenset(rng.choice(base, 120 - drop, replace=False).tolist()) | frozenset(rng.integers(1, 1 << 62, rng.integers(0, 30)).tolist()))
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    n = np.arange(60)
+    block = lambda at: (n[at], np.array([len(arrays[k]) for k in at]), np.zeros(len(at), np.int64), n[at], [arrays[k] for k in at])
+    whole = jaccard.block_links(block(n), None)
+    halves = jaccard.block_links(block(n[:25]), None) + jaccard.block_links(block(n[25:]), None) + jaccard.block_links(block(n[:25]), block(n[25:]))
+    for links in (whole, halves):
+        assert all(100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for a, b in links)
+        roots = list(range(60))
+        for _ in range(60):
+            for a, b in links:
+                roots[a] = roots[b] = min(roots[a], roots[b])
+        assert roots == brute_components(sets)
+    assert len(whole) == 60 - len(set(brute_components(sets)))
+
+
+@pytest.mark.parametrize("sets_a_block, merged", [(512, True), (5, False)])
+def test_long_lists_by_blocks_equal_brute_force(spark, monkeypatch, sets_a_block, merged):
+    monkeypatch.setattr(jaccard, "SMALL", 2)
+    monkeypatch.setattr(jaccard, "LONG", 8)
+    monkeypatch.setattr(jaccard, "ORDERS", 1)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", sets_a_block)
+    rng = np.random.default_rng(6)
+    words = np.array([f"w{k}" for k in range(4000)])
+    texts = []
+    for size in (60, 60, 200):
+        base = rng.choice(words, size)
+        for _ in range(30):
+            text = base.copy()
+            at = rng.choice(size, rng.integers(0, size // 12), replace=False)
+            text[at] = rng.choice(words, len(at))
+            texts.append(" ".join(text[: size - rng.integers(0, size // 5)]))
+    rows = [(k if k % 7 else None, t) for k, t in enumerate(texts, 1)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = {k: c + 1 for k, c in enumerate(brute_components([frozenset(jaccard.shingles(t).tolist()) for t in texts]), 1)}
+    groups = defaultdict(set)
+    for k, c in want.items():
+        if k % 7:
+            groups[c].add(k)
+    assert {r.doc_id: r.component_id for r in got if r.doc_id} == {k: min(g) for g in groups.values() for k in g}
