@@ -10,11 +10,14 @@ the main text to its own blocks, unless more unique text stands beside it than i
 article that is mostly repeated is a copy and is protected whole.  Pages with the same stream count as one
 page, so a copied page is not boilerplate.
 
-A host is compared as a whole, whatever its size.  Pages are parsed in groups; a group's substrings of RUN
-tokens, hashed with the host to 64 bits, are dealt out by hash with at most PAGES of its streams each, sorted
-and counted there, and those that occur on PAGES distinct pages of the host go back to the groups that have
-them.  So no task holds a host, and a page's text does not depend on other hosts or on the table's size.
-:func:`main_texts` finds the same by a suffix array of one host's pages.
+A host is compared as a whole, whatever its size, in two rounds.  Pages are parsed in groups, which stay where
+they are: only hashes travel.  Every substring of RUN tokens has a *minimizer*, the least hash of its substrings
+of PART tokens; equal substrings have equal ones, and a minimizer serves some three substrings.  The first round
+sorts the minimizers of all groups, dealt out by ranges of the hash, and tells each group which of its own are on
+PAGES pages of the host or more.  The second does the same, exactly, for the substrings that have such a
+minimizer, hashed with the host to 64 bits, with at most PAGES of a group's token streams each.  So no task
+holds a host, and a page's text does not depend on other hosts or on the table's size.  :func:`main_texts` finds
+the same by a suffix array of one host's pages.
 
 Defined results: null or empty html gives the empty text; a null url is a host of its own; character
 references are decoded; white space inside a block is one blank; blocks are joined by two line feeds.
@@ -37,13 +40,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from colloquy.llm.common import written
+from colloquy.llm.common import give_back, shared_folder
+from colloquy.llm.jaccard import _mix, _power_tables
 
 RUN, PAGES, COVER = 8, 3, 0.8
-#: Characters of a group of pages, and grams that a task sorts at once; both only bound memory.
-GROUP_CHARS, BUCKET = 3_000_000, 1 << 21
-MEMO = 200_000
-_memo: dict[str | None, int] = {}
+#: Tokens of a minimizer's substrings, and bits that the first round keeps of their hashes.
+PART, SHORT = 4, 40
+#: Characters of a group of pages, and tokens whose hashes a task sorts at once; both only bound memory.
+GROUP_CHARS, BUCKET = 3_000_000, 1 << 22
+#: The code of a block's border.
+BORDER = np.uint64(0x9E3779B97F4A7C15)
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|iframe|svg|textarea|title|object)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>|<[!?][^<>]*>")
 _CUT = re.compile(r"<[a-zA-Z/!][^<>]*\Z")
@@ -201,27 +207,71 @@ def _hash(data: bytes, size: int = 8) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=size).digest(), "little")
 
 
-def grams(host: str, stream: list[str | None]) -> np.ndarray:
-    """64-bit hashes of (host, RUN tokens) at every position of a stream that RUN tokens follow."""
-    if len(stream) < RUN:
-        return np.zeros(0, np.uint64)
-    if len(_memo) > MEMO:
-        _memo.clear()
-    ids = []
-    for w in stream:
-        k = _memo.get(w)
-        if k is None:
-            k = _memo[w] = 0x9E3779B97F4A7C15 if w is None else _hash(w.encode("utf-8", "surrogatepass"))
-        ids.append(k)
-    code = np.array(ids, np.uint64)
-    n = len(code) - RUN + 1
-    h = np.full(n, _hash(host.encode("utf-8", "surrogatepass")), np.uint64)
-    for k in range(RUN):
-        h = (h ^ code[k : k + n]) * np.uint64(0xFF51AFD7ED558CCD)
+def _codes(text: bytes) -> np.ndarray:
+    """64-bit codes of the tokens of blocks that each follow a line feed: the line feeds and the words."""
+    raw = np.frombuffer(text, np.uint8)
+    border = raw == 10
+    blank = border | (raw == 32)
+    edge = np.diff(np.concatenate([[True], blank, [True]]).view(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    power, inverse = _power_tables(len(raw))
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=total[1:])
+    words = _mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    del total
+    at = np.concatenate([np.flatnonzero(border), start])
+    return np.concatenate([np.full(len(at) - len(start), BORDER), words])[np.argsort(at, kind="stable")]
+
+
+def _hashed(code: np.ndarray, seed: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all ``n`` tokens in a row, with a seed for each place."""
+    size = max(0, len(code) - n + 1)
+    h = seed[:size].copy()
+    for k in range(n):
+        h = (h ^ code[k : k + size]) * np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(32)
     return h
 
 
+class Group:
+    """The parsed pages of a group: ``pages`` with (page_id, url, marks of its blocks), tokens, and their hashes."""
+
+    def __init__(self, data: bytes):
+        self.pages, hosts, text = pickle.loads(zlib.decompress(data))
+        self.text = text
+        self.code = _codes(text)
+        borders = np.append(np.flatnonzero(self.code == BORDER), len(self.code))
+        counts = np.array([len(marks) for *_, marks in self.pages], np.int64)
+        self.first = np.concatenate([[0], np.cumsum(counts)])  # of each page's blocks
+        self.block = borders  # where blocks begin among the tokens
+        self.begin = borders[self.first]  # where pages begin
+        self.page = np.repeat(np.arange(len(self.pages)), np.diff(self.begin))
+        self.seed = np.repeat(np.array([_hash(h.encode("utf-8", "surrogatepass")) for h in hosts], np.uint64), np.diff(self.begin))
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places where RUN tokens of one page begin, and the hashes of these and the host."""
+        h = _hashed(self.code, self.seed, RUN)
+        at = np.flatnonzero(self.page[: len(h)] == self.page[RUN - 1 : RUN - 1 + len(h)])
+        return at, h[at]
+
+    def minimizers(self, at: np.ndarray) -> np.ndarray:
+        """The least hash of PART tokens within the RUN at each place, its upper SHORT bits."""
+        h = _hashed(self.code, self.seed, PART) >> np.uint64(64 - SHORT)
+        least = h[at]
+        for k in range(1, RUN - PART + 1):
+            np.minimum(least, h[at + k], out=least)
+        return least
+
+    def streams(self) -> np.ndarray:
+        """A hash of each page's token stream; pages with the same stream count as one."""
+        if not len(self.code):
+            return np.zeros(len(self.pages), np.uint32)
+        place = (np.arange(len(self.code)) - self.begin[self.page]).astype(np.uint64)
+        total = np.zeros(len(self.code) + 1, np.uint64)
+        np.cumsum(_mix(self.code + _mix(place)), out=total[1:])
+        return (_mix(total[self.begin[1:]] - total[self.begin[:-1]]) >> np.uint64(32)).astype(np.uint32)
+
+
 def _packed(keys: np.ndarray) -> bytes:
     """Sorted 64-bit keys as planes of their differences' bytes, which compress."""
     return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -249,8 +299,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Groups of parsed pages: ``part, tokens, data``."""
 
     def group(held: list) -> pa.RecordBatch:
-        tokens = sum(len(b.split()) + 1 for *_, p in held for b, _ in p)
-        return pa.RecordBatch.from_pydict({"part": [uuid.uuid4().hex], "tokens": [tokens], "data": [zlib.compress(pickle.dumps(held), 1)]}, _PARSED)
+        pages = [(k, u, [marked for _, marked in p]) for k, u, _, p in held]
+        text = "".join("\n" + b for *_, p in held for b, _ in p).encode("utf-8", "surrogatepass")
+        data = zlib.compress(pickle.dumps((pages, [h for _, _, h, _ in held], text)), 1)
+        return pa.RecordBatch.from_pydict({"part": [uuid.uuid4().hex], "tokens": [text.count(b" ") + 2 * text.count(b"\n")], "data": [data]}, _PARSED)
 
     held, size = [], 0
     for batch in batches:
@@ -263,69 +315,140 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held, size = [], 0
     if held:
         yield group(held)
+    del held
+    give_back()
 
 
 _PARSED = pa.schema([("part", pa.string()), ("tokens", pa.int64()), ("data", pa.binary())])
-_GRAMS = pa.schema([("bucket", pa.int32()), ("part", pa.string()), ("keys", pa.binary()), ("streams", pa.binary())])
+_KEYS = pa.schema([("bucket", pa.int32()), ("part", pa.string()), ("keys", pa.binary()), ("more", pa.binary())])
 _HOT = pa.schema([("part", pa.string()), ("keys", pa.binary())])
+KEYS = "bucket int, part string, keys binary, more binary"
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-def _emit(buckets: int):
-    """From groups of pages to their grams: one row for each bucket of keys, at most PAGES streams a key."""
+def _slices(part: str, keys: np.ndarray, more: np.ndarray, bits: int, buckets: int) -> list[tuple]:
+    """Rows of _KEYS from sorted keys of so many bits: buckets are ranges of the key, so each is a slice."""
+    top = keys >> np.uint64(bits - 32)
+    cut = np.searchsorted(top * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+    return [(b, part, _packed(keys[i:j]), more[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
+
+
+def _emit_minimizers(buckets: int):
+    """From groups to their minimizers, each with the pages of the group that have it, up to PAGES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data in zip(batch.column("part").to_pylist(), batch.column("data").to_pylist()):
-                keys, streams = [], []
-                for _, _, h, page in pickle.loads(zlib.decompress(data)):
-                    stream = _spans(page)[0]
-                    keys.append(np.unique(grams(h, stream)))
-                    own = _hash("\n".join(w or "" for w in stream).encode("utf-8", "surrogatepass"), 4)
-                    streams.append(np.full(len(keys[-1]), own, np.uint32))
-                k, s = _first(np.concatenate(keys), np.concatenate(streams), PAGES)
-                # Buckets are ranges of the key, so each is a slice.
-                cut = np.searchsorted((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
-                rows = [(b, part, _packed(k[i:j]), s[i:j].tobytes()) for b, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _GRAMS)] if rows else [pa.array([], f.type) for f in _GRAMS], schema=_GRAMS)
+                group = Group(data)
+                at = group.grams()[0]
+                least, page = group.minimizers(at), group.page[at]
+                new = np.ones(len(at), bool)
+                new[1:] = (least[1:] != least[:-1]) | (page[1:] != page[:-1])
+                least, page = least[new], page[new].astype(np.uint64)
+                order = np.argsort(least, kind="stable")  # pages stay in order among equal keys
+                least, page = least[order], page[order]
+                new = np.ones(len(least), bool)
+                new[1:] = (least[1:] != least[:-1]) | (page[1:] != page[:-1])
+                keys, n = np.unique(least[new], return_counts=True)
+                del least, page, order, new
+                # One row for each count of pages: the count is no bytes of each key.
+                for pages in range(1, PAGES + 1):
+                    of = keys[n == pages] if pages < PAGES else keys[n >= pages]
+                    yield _rows([(b, part, k, bytes([pages])) for b, part, k, _ in _slices(part, of, of[:0], SHORT, buckets)], _KEYS)
+        give_back()
+
+    return run
+
+
+def _emit_grams(buckets: int):
+    """From groups, with the minimizers that are on enough pages, to the substrings that have one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, hot in zip(*(batch.column(c).to_pylist() for c in ("part", "data", "keys"))):
+                group = Group(data)
+                at, h = group.grams()
+                often = _among(group.minimizers(at), _sorted(hot))
+                k, s = _first(h[often], group.streams()[group.page[at[often]]], PAGES)
+                yield _rows(_slices(part, k, s, 64, buckets), _KEYS)
+        give_back()
 
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From the grams of a bucket to those on PAGES distinct streams of their host, for each group that has them."""
-    at, held = None, []
+def _sorted(hot: list[bytes] | None) -> np.ndarray:
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *map(_unpacked, hot or [])]))
+
 
-    def flush() -> pa.RecordBatch:
+def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which values are among the sorted keys."""
+    if not len(keys):
+        return np.zeros(len(values), bool)
+    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
+
+
+def _count(exact: bool):
+    """From the keys of a bucket to those on PAGES pages or more (``exact``: distinct streams), for each group that has them."""
+
+    def often(held: list) -> np.ndarray:
         keys = np.concatenate([k for _, k, _ in held])
-        first, _ = _first(keys, np.concatenate([s for *_, s in held]), PAGES)
-        values, n = np.unique(first, return_counts=True)
-        often = values[n >= PAGES]
-        got = [(part, np.unique(k[np.isin(k, often)])) for part, k, _ in held] if len(often) else []
-        rows = [(part, k.tobytes()) for part, k in got if len(k)]
+        if exact:
+            values, n = np.unique(_first(keys, np.concatenate([np.frombuffer(m, np.uint32) for *_, m in held]), PAGES)[0], return_counts=True)
+        else:
+            values, at = np.unique(keys, return_inverse=True)
+            n = np.bincount(at, np.repeat([float(m[0]) for *_, m in held], [len(k) for _, k, _ in held]), len(values))
+        return values[n >= PAGES]
+
+    def flush(held: list) -> pa.RecordBatch:
+        found = often(held)
+        got = [(part, k[_among(k, found)]) for part, k, _ in held]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_HOT)], schema=_HOT)
+        return _rows([(part, _packed(k)) for part, k in got if len(k)], _HOT)
 
-    for batch in batches:
-        for b, part, keys, streams in zip(*(batch.column(c).to_pylist() for c in _GRAMS.names)):
-            if held and b != at:
-                yield flush()
-            at = b
-            held.append((part, _unpacked(keys), np.frombuffer(streams, np.uint32)))
-    if held:
-        yield flush()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for b, part, keys, more in zip(*(batch.column(c).to_pylist() for c in _KEYS.names)):
+                if held and b != at:
+                    yield flush(held)
+                at = b
+                held.append((part, _unpacked(keys), more))
+        if held:
+            yield flush(held)
+        give_back()
+
+    return run
+
+
+def _kept_in_place(rows: DataFrame, key: str, parts: int) -> DataFrame:
+    """``rows`` written to the shared folder in buckets of ``key``, so that a join on it moves only the other side."""
+    spark = rows.sparkSession
+    name = f"colloquy_{uuid.uuid4().hex}"
+    rows.write.bucketBy(parts, key).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    found = spark.table(name)
+    found.schema  # noqa: B018 - resolved now: the files stay when the name goes
+    spark.sql(f"drop table {name}")
+    return found
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` of every page."""
     host = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"), host.alias("host"))
-    parsed = written(rows.mapInArrow(_parse, "part string, tokens long, data binary"))
-    total = parsed.agg(F.sum("tokens")).first()[0] or 0
-    buckets = total // BUCKET + 1
-    dealt = parsed.mapInArrow(_emit(buckets), "bucket int, part string, keys binary, streams binary")
-    # Each bucket holds about BUCKET grams at most, of whatever hosts: hashes spread them evenly.
-    dealt = dealt.repartition(max(buckets, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bucket").sortWithinPartitions("bucket")
-    hot = dealt.mapInArrow(_count, "part string, keys binary").groupBy("part").agg(F.collect_list("keys").alias("keys"))
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parsed = _kept_in_place(rows.mapInArrow(_parse, "part string, tokens long, data binary"), "part", parts)
+    buckets = (parsed.agg(F.sum("tokens")).first()[0] or 0) // BUCKET + 1
+
+    def hot(keys: DataFrame, exact: bool) -> DataFrame:
+        # Each bucket holds about BUCKET keys at most, of whatever hosts: hashes spread them evenly.
+        dealt = keys.repartition(max(buckets, parts), "bucket").sortWithinPartitions("bucket")
+        return dealt.mapInArrow(_count(exact), "part string, keys binary").groupBy("part").agg(F.collect_list("keys").alias("keys"))
+
+    first = hot(parsed.select("part", "data").mapInArrow(_emit_minimizers(buckets), KEYS), False)
+    second = hot(parsed.join(first, "part").select("part", "data", "keys").mapInArrow(_emit_grams(buckets), KEYS), True)
     kind = pages.schema[key].dataType
     result = StructType([StructField("page_id", kind), StructField("url", StringType()), StructField("text", StringType()), StructField("n_chars", LongType())])
     schema = to_arrow_schema(result)
@@ -333,17 +456,20 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, found in zip(batch.column("data").to_pylist(), batch.column("keys").to_pylist()):
-                often = np.sort(np.concatenate([np.frombuffer(k, np.uint64) for k in found or []] or [np.zeros(0, np.uint64)]))
+                group = Group(data)
+                at, h = group.grams()
+                start = at[_among(h, _sorted(found))]
+                cover = np.zeros(len(group.code), bool)
+                for i in range(RUN):
+                    cover[start + i] = True
+                texts = group.text.decode("utf-8", "surrogatepass").split("\n")[1:]
                 out = []
-                for k, u, h, p in pickle.loads(zlib.decompress(data)):
-                    stream, at = _spans(p)
-                    own = grams(h, stream)
-                    start = often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own if len(often) else np.zeros(len(own), bool)
-                    cover = np.zeros(len(stream), bool)
-                    for i in range(RUN):
-                        cover[i : i + len(start)] |= start
-                    text = _kept(p, cover, at)
+                for n, (k, u, marks) in enumerate(group.pages):
+                    i, j, begin = group.first[n], group.first[n + 1], group.begin[n]
+                    spans = [(int(x - begin), int(y - begin)) for x, y in zip(group.block[i:j], group.block[i + 1 : j + 1])]
+                    text = _kept(list(zip(texts[i:j], marks)), cover[begin : group.begin[n + 1]], spans)
                     out.append((k, u, text, len(text)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], f.type) for i, f in enumerate(schema)], schema=schema)
+                yield _rows(out, schema)
+        give_back()
 
-    return parsed.select("part", "data").join(hot, "part", "left").select("data", "keys").mapInArrow(run, result)
+    return parsed.select("part", "data").join(second, "part", "left").select("data", "keys").mapInArrow(run, result)

@@ -555,3 +555,11 @@ def test_long_lists_by_blocks_equal_brute_force(spark, monkeypatch, sets_a_block
         if k % 7:
             groups[c].add(k)
     assert {r.doc_id: r.component_id for r in got if r.doc_id} == {k: min(g) for g in groups.values() for k in g}
+
+
+def test_extract_keeps_any_rows(spark):
+    """Null keys, repeated rows, equal ids, columns with clashing names, blocks with odd characters."""
+    rows = [(None, None, "<p>no key</p>", "p"), (1, "//h/", "<p>a\x00b \x85 c</p><p>&#10;x&nbsp;y</p>", "p"), (1, "//h/", "<p>a\x00b \x85 c</p><p>&#10;x&nbsp;y</p>", "p"), (1, "//h/", "<p>other</p>", "p"), (2, "", "", "p")]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, part string").withColumn("keys", F.lit(1)).withColumn("data", F.lit("d"))
+    got = sorted((r.page_id or 0, r.text, r.n_chars) for r in html_extract.extract(frame).collect())
+    assert got == [(0, "no key", 6), (1, "a\x00b c\n\nx y", 10), (1, "a\x00b c\n\nx y", 10), (1, "other", 5), (2, "", 0)]
