@@ -57,10 +57,15 @@ def _letter_table() -> np.ndarray:
 
 
 def _codes(text: str) -> np.ndarray:
-    """Lower-case code points; what is no letter is 0.  All of the astral planes count as letters."""
+    """Lower-case code points; what is no letter is 0."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     plane0 = codes < 0x10000
-    return np.where(np.where(plane0, _letter_table()[np.where(plane0, codes, 0)], True), codes, 0)
+    letter = _letter_table()[np.where(plane0, codes, 0)]
+    if not plane0.all():  # the other planes have few letters: each code point is asked for once
+        beyond = codes[~plane0]
+        known = {c: chr(c).isalpha() for c in np.unique(beyond).tolist()}
+        letter[~plane0] = [known[c] for c in beyond.tolist()]
+    return np.where(letter, codes, 0)
 
 
 def _trigrams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
