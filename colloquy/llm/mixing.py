@@ -3,17 +3,20 @@
 A softmax classifier over hashed words, fitted on a bounded sample of a labelled table, gives every document
 posteriors over the domains.  Document rates (how often a document is repeated) are fitted so that expected
 domain token totals, the sums of rate * tokens * posterior, match target weights of the corpus' tokens:
-projected gradient descent on the least squares, from rates 1, kept nonnegative.  An iteration is one
-distributed aggregation of as many sums as there are domains; a document's rate follows from its posteriors
-and the few numbers that the iterations left, so nothing of the size of the corpus is carried along.
+projected gradient descent on the least squares, from rates 1, kept nonnegative.  The gradients are summed before
+they are projected, so a document's rate follows from its posteriors and one number a domain, however many steps
+there were; a step's length is that of the Gram matrix of the documents whose rate is not held at zero.  A step is
+one distributed aggregation of a few sums, and nothing of the size of the corpus is carried along.
 
 Defined results: null and empty texts have no tokens, the prior as posteriors and rate 1; with fewer than
 two domains in the labelled table every rate is 1; targets for unknown domains are refused; repeated rows
-get equal rates; an empty table gives none.
+get equal rates; an empty table gives none.  Targets that no rates reach (within TOLERANCE of all tokens, after
+STEPS steps) give the rates of the nearest step and a warning that names the shares.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +34,8 @@ FIT_DOCS = 6000
 BITS, DENSE, EPOCHS = 12, 3, 60
 #: Documents of a block of the gradient, which bounds the driver's memory.
 BLOCK = 500
-STEPS, TOLERANCE, PULL = 20, 1e-3, 1e-3
+#: Steps at most, and the sum of the domains' deviations from their targets that ends them, as a share of all tokens.
+STEPS, TOLERANCE = 60, 5e-4
 _memo: dict[str, int] = {}
 
 
@@ -121,19 +125,16 @@ def posteriors(model: DomainModel):
     return run
 
 
-def rate(tokens: Column, p: Column, history: list[list[float]], mean: float, pull: float = PULL) -> Column:
-    """A document's rate after the iterations in ``history``: in each, a projected step along its gradient."""
-    size = tokens.cast("double") / F.lit(mean or 1.0)
+def _along(p: Column, y: list[float]) -> Column:
+    return F.aggregate(F.zip_with(p, F.array(*[F.lit(float(v)) for v in y]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
-    def step(r: Column, y: Column) -> Column:
-        slope = F.aggregate(F.zip_with(p, y, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return F.greatest(F.lit(0.0), r - size * slope - F.lit(pull) * (r - 1))
 
-    steps = F.array(*[F.array(*[F.lit(float(v)) for v in y]) for y in history]) if history else F.array().cast("array<array<double>>")
-    return F.aggregate(steps, F.lit(1.0), step)
+def rate(tokens: Column, p: Column, y: list[float], mean: float) -> Column:
+    """A document's rate, given the summed gradient ``y`` of each domain: 1 less its share of it, projected to 0 or more."""
+    return F.greatest(F.lit(0.0), 1 - tokens.cast("double") / F.lit(mean or 1.0) * _along(p, y)) if y else F.lit(1.0)
 
 
-def fit_rates(table: DataFrame, domains: tuple[str, ...], targets: dict[str, float], steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[list[float]], float]:
+def fit_rates(table: DataFrame, domains: tuple[str, ...], targets: dict[str, float], steps: int = STEPS, tolerance: float = TOLERANCE) -> tuple[list[float], float]:
     """Iterate over ``table`` (tokens, p) until expected domain totals match ``targets`` (shares of all tokens)."""
     if unknown := set(targets) - set(domains):
         raise ValueError(f"targets for unknown domains: {sorted(unknown)}")
@@ -146,27 +147,43 @@ def fit_rates(table: DataFrame, domains: tuple[str, ...], targets: dict[str, flo
         return [], 1.0
     mean = total / n
     size = t / F.lit(mean)
-    cells = table.agg(*[F.sum(size * size * p[i] * p[j]) for i in range(d) for j in range(d)]).first()
-    gram = np.array(cells, float).reshape(d, d)
-    # Least squares in the metric of the Gram matrix, whose gradient steps have length one.
-    metric = np.linalg.inv(gram + np.eye(d) * 1e-9 * np.trace(gram))
     want = np.array([targets.get(x, 0.0) for x in domains])
     want = want / want.sum() * n
-    history: list[list[float]] = []
+
+    def measured(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Domain totals at ``y``, and the Gram matrix of the documents that move with it."""
+        rated = table.withColumn("r", rate(t, p, y.tolist(), mean))
+        cells = [F.sum(F.when(F.col("r") > 0, size * size * p[i] * p[j]).otherwise(0.0)) for i in range(d) for j in range(i, d)]
+        got = rated.agg(*[F.sum(size * p[i] * F.col("r")) for i in range(d)], *cells).first()
+        gram = np.zeros((d, d))
+        gram[np.triu_indices(d)] = np.array(got[d:], float)
+        return np.array(got[:d], float), gram + np.triu(gram, 1).T
+
+    y, step = np.zeros(d), np.zeros(d)
+    best, shares, slope = (np.inf, y), want, np.zeros(d)
     for _ in range(steps):
-        sums = np.array(table.agg(*[F.sum(size * p[i] * rate(t, p, history, mean)) for i in range(d)]).first(), float)
-        if np.abs(sums - want).sum() <= tolerance * n:
-            break
-        history.append((metric @ (sums - want)).tolist())
-    return history, mean
+        sums, gram = measured(y)
+        gap = float(np.abs(sums - want).sum())
+        if gap < best[0]:
+            best, shares = (gap, y), sums
+            if gap <= tolerance * n:
+                break
+            slope = np.linalg.solve(gram + np.eye(d) * 1e-9 * max(np.trace(gram), 1e-9), sums - want)
+            step = slope
+        else:  # too far along this gradient
+            step = step / 2
+        y = best[1] + step
+    if best[0] > tolerance * n:
+        warnings.warn(f"mixing: targets {dict(zip(domains, (want / n).round(4).tolist()))} were not reached; shares {dict(zip(domains, (shares / n).round(4).tolist()))}", stacklevel=2)
+    return best[1].tolist(), mean
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: ``doc_id, tokens, p, rate, copies``; ``copies`` rounds the rate by a hash of the id."""
     model = fit_domains(labelled)
     table = written(docs.select(F.col(key).alias("doc_id"), posteriors(model)(text).alias("m")).select("doc_id", "m.*"))
-    history, mean = fit_rates(table, model.domains, targets)
-    rated = table.withColumn("rate", rate(F.col("tokens"), F.col("p"), history, mean))
+    y, mean = fit_rates(table, model.domains, targets)
+    rated = table.withColumn("rate", rate(F.col("tokens"), F.col("p"), y, mean))
     return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
 
@@ -175,11 +192,9 @@ def copies(r: Column, key: Column) -> Column:
 
 
 def apply(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with every row repeated by its rate; same columns."""
+    """``docs`` with every row repeated by its rate; same columns.  The rows are written once with their posteriors."""
     model = fit_domains(labelled)
-    measure = posteriors(model)
-    table = written(docs.select(measure(text).alias("m")).select("m.*"))
-    history, mean = fit_rates(table, model.domains, targets)
-    rated = docs.withColumn("__m", measure(text))
-    n = copies(rate(F.col("__m.tokens"), F.col("__m.p"), history, mean), F.col(key))
-    return rated.withColumn("__n", n).where("__n > 0").withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), "__n"))).select(*docs.columns)
+    held = written(docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key"), posteriors(model)(text).alias("m")))
+    y, mean = fit_rates(held.select("m.*"), model.domains, targets)
+    rated = held.select("row", copies(rate(F.col("m.tokens"), F.col("m.p"), y, mean), F.col("key")).alias("n"))
+    return rated.where("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i")).select("row.*")
