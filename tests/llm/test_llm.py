@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat, fingerprint, html_extract, jaccard, langid, licenses, mixing, packing, quality, toxicity
+from colloquy.llm import chat, fingerprint, html_extract, jaccard, langid, licenses, mixing, packing, quality, queries, toxicity
 from colloquy.llm.common import fold, table
 
 SF = "/root/testdata/sf0.001"
@@ -45,6 +45,12 @@ def test_language_id_edges(spark):
     assert {r.l.lang for r in edge(spark).select(langid.predict("text", empty).alias("l")).collect()} == {"und"}
 
 
+def test_letters_of_all_planes(spark):
+    model = langid.fit(edge(spark))
+    rows = spark.createDataFrame([(t,) for t in ("😀 😀", "𝟏𝟐", "𐐀𐐁", "12 !?")], "t string").select("t", langid.predict("t", model).alias("l"))
+    assert {r.t: r.l.lang for r in rows.collect()} == {"😀 😀": "und", "𝟏𝟐": "und", "𐐀𐐁": "en", "12 !?": "und"}
+
+
 def test_mixture_selects_two_languages():
     rng = np.random.default_rng(0)
     words = {"aa": ["abab", "baba", "abba"], "bb": ["xyxy", "yxyx", "xyyx"]}
@@ -266,9 +272,22 @@ def test_licences(spark):
     assert find("abc def.\nReleased under the MIT License.\nmore") == ["mit"]
     assert find("Licensed under CC BY-NC 4.0.") == ["cc-by-nc"] and find("Licensed under the Apache License, Version 2.0.") == ["apache-2.0"]
     assert find("This work is licensed under the GNU General Public License, version 3.") == ["gpl"]
+    assert find("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published") == ["gpl"]
+    assert find("MIT licensed") == ["mit"] and find("Mit.") == find("She studied at MIT.") == find("the BSD kernel is fast") == []
     assert find("The licence of the driver was valid.") == [] and find(None) == [] and find("") == []
     got = licenses.scan(edge(spark), model=model)
     assert got.count() == len(EDGE) and got.where("n_notices > 0").count() == 0
+    text = "word " * 200_000 + "Released under the MIT License."
+    assert licenses.find(text, model)[-1][0] == "mit" and licenses.find(text, model)[-1][3] == len(text)
+    assert licenses.scan(edge(spark, [])).count() == 0
+
+
+def test_licence_query_finds_planted_notices(spark):
+    """The registered query against a plain search for the notices that the documents' generator plants."""
+    got = {r.doc_id: set(r.families) for r in queries.op5_license_scan(spark, "/root/testdata/sf0.01").collect()}
+    plain = {"mit": "Released under the MIT License", "cc-by-nc": "Licensed under CC BY-NC 4.0", "gpl": "GNU General Public License", "apache-2.0": "Licensed under the Apache License"}
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()
+    assert got == {r.doc_id: {f for f, phrase in plain.items() if phrase in (r.text or "")} for r in docs}
 
 
 # -- quality ----------------------------------------------------------------------------------------------
@@ -375,12 +394,22 @@ def test_rates_meet_targets(spark):
     rng = np.random.default_rng(6)
     rows = [(k, int(rng.integers(10, 500)), rng.dirichlet([0.3, 0.3, 0.3]).tolist()) for k in range(500)]
     df = spark.createDataFrame(rows, "doc_id long, tokens long, p array<double>")
-    history, mean = mixing.fit_rates(df, ("a", "b", "c"), {"a": 0.6, "b": 0.3, "c": 0.1})
-    got = df.withColumn("rate", mixing.rate(F.col("tokens"), F.col("p"), history, mean)).collect()
+    y, mean = mixing.fit_rates(df, ("a", "b", "c"), {"a": 0.6, "b": 0.3, "c": 0.1})
+    got = df.withColumn("rate", mixing.rate(F.col("tokens"), F.col("p"), y, mean)).collect()
     total = np.array([np.array(r.p) * r.tokens * r.rate for r in got]).sum(axis=0)
-    assert min(r.rate for r in got) >= 0 and np.abs(total / sum(r.tokens for r in got) - [0.6, 0.3, 0.1]).max() < 0.01
+    assert min(r.rate for r in got) >= 0 and np.abs(total / sum(r.tokens for r in got) - [0.6, 0.3, 0.1]).max() < 0.001
     with pytest.raises(ValueError):
         mixing.fit_rates(df, ("a", "b", "c"), {"z": 1.0})
+    even = spark.createDataFrame([(10, [0.5, 0.5])] * 4, "tokens long, p array<double>")
+    with pytest.warns(UserWarning, match="not reached"):  # no rates give a all tokens
+        y, mean = mixing.fit_rates(even, ("a", "b"), {"a": 1.0})
+    assert all(r.rate >= 0 for r in even.withColumn("rate", mixing.rate(F.col("tokens"), F.col("p"), y, mean)).collect())
+
+
+def test_mixing_query_meets_its_targets(spark):
+    got = queries.op9_mixing(spark, "/root/testdata/sf0.01").collect()
+    total = np.array([np.array(r.p) * r.tokens * r.rate for r in got]).sum(axis=0) / sum(r.tokens for r in got)
+    assert np.abs(total - [queries.TARGETS[d] for d in sorted(queries.TARGETS)]).max() < 0.001
 
 
 def test_mixing_edges(spark):
@@ -493,7 +522,7 @@ def test_pipeline_stages(spark):
     assert packed.where("piece = 0").count() == docs.count()
 
 
-def brute_components(sets):
+def reachable(sets):
     """Links between sets by their definition, and each set's smallest reachable index."""
     parent = list(range(len(sets)))
 
@@ -527,8 +556,8 @@ def test_block_links_equal_brute_force():
         for _ in range(60):
             for a, b in links:
                 roots[a] = roots[b] = min(roots[a], roots[b])
-        assert roots == brute_components(sets)
-    assert len(whole) == 60 - len(set(brute_components(sets)))
+        assert roots == reachable(sets)
+    assert len(whole) == 60 - len(set(reachable(sets)))
 
 
 @pytest.mark.parametrize("sets_a_block, merged", [(512, True), (5, False)])
@@ -549,7 +578,7 @@ def test_long_lists_by_blocks_equal_brute_force(spark, monkeypatch, sets_a_block
             texts.append(" ".join(text[: size - rng.integers(0, size // 5)]))
     rows = [(k if k % 7 else None, t) for k, t in enumerate(texts, 1)]
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    want = {k: c + 1 for k, c in enumerate(brute_components([frozenset(jaccard.shingles(t).tolist()) for t in texts]), 1)}
+    want = {k: c + 1 for k, c in enumerate(reachable([frozenset(jaccard.shingles(t).tolist()) for t in texts]), 1)}
     groups = defaultdict(set)
     for k, c in want.items():
         if k % 7:
