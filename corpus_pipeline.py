@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import jaccard, langid, mixing, packing, queries, toxicity
@@ -14,41 +14,49 @@ from colloquy.llm.common import table, written
 SURPRISE = 5.0
 
 
+def _beside(docs: DataFrame, *found: Column) -> DataFrame:
+    """The rows as one column ``row``, beside what a stage finds, so that no name can clash."""
+    return docs.select(F.struct(*docs.columns).alias("row"), *found)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, and those whose words are too unlikely in every learned language."""
+    """Drop documents without a letter, and those whose words are too unlikely in every learned language.
+
+    Null, empty and blank texts go; ties, repeated rows and null ids are judged by their text alone; an empty table stays so.
+    """
     model = queries.language_model(spark, sf_dir)
-    found = docs.withColumn("__l", langid.predict("text", model))
-    found = found.where(f"__l.lang <> '{langid.UNDETERMINED}'").withColumn("__s", langid.surprise("text", "__l.lang", model))
-    return found.where(f"__s < {SURPRISE}").select(*docs.columns)
+    found = _beside(docs, langid.predict("text", model).alias("l")).where(f"l.lang <> '{langid.UNDETERMINED}'")
+    return found.withColumn("s", langid.surprise("row.text", "l.lang", model)).where(f"s < {SURPRISE}").select("row.*")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that are likelier toxic than not."""
+    """Drop documents that are likelier toxic than not; null and empty texts are clean, repeated rows are judged alike."""
     model = queries.toxicity_model(spark, sf_dir)
-    return docs.withColumn("__t", toxicity.toxicity("text", model)).where("__t.score < 0.5").select(*docs.columns)
+    return _beside(docs, toxicity.toxicity("text", model).alias("t")).where("t.score < 0.5").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each component of linked rows: that of the smallest document, by hash of the row among equal ids.
 
-    The join sees rows by a key of their own, so repeated and null ids are rows like others.
+    The join sees rows by a key of their own, so repeated and null ids are rows like others.  Texts without a word
+    link with nothing and all stay.
     """
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = jaccard.join(rows, key="__row").select(F.col("doc_id").alias("__row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*docs.columns), "__row")
-    ranked = rows.select("__row", order.alias("o")).join(found, "__row")
-    kept = ranked.groupBy("component_id").agg(F.min("o").getField("__row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    rows = written(_beside(docs, F.monotonically_increasing_id().alias("at")))
+    found = jaccard.join(rows, key="at", text="row.text").select(F.col("doc_id").alias("at"), "component_id")
+    order = F.struct(F.col("row.doc_id").isNull(), "row.doc_id", F.xxhash64("row"), "at")
+    ranked = rows.select("at", order.alias("o")).join(found, "at")
+    kept = ranked.groupBy("component_id").agg(F.min("o").getField("at").alias("at"))
+    return rows.join(kept, "at", "left_semi").select("row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat and thin out documents to the target weights of the domains."""
+    """Repeat and thin out documents to the target weights of the domains; texts without a word stay once."""
     train = queries.sampled(spark, sf_dir, mixing.FIT_DOCS, "mixing-fit")
     return mixing.apply(docs, train, queries.TARGETS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences."""
+    """Pack what is left into sequences; a document without text is one separator."""
     return packing.pack_documents(docs)
 
 
