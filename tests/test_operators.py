@@ -178,3 +178,34 @@ def test_contained_texts_must_be_unique(spark):
     left = spark.createDataFrame([(1, 1, "ab"), (1, 2, "b"), (1, 3, ""), (1, 4, "zz")], "k int, id int, text string")
     right = spark.createDataFrame([(1, 10, "xaby"), (1, 11, "b")], "k int, id int, text string")
     assert [tuple(r) for r in J.contained(left, right, "k").collect()] == [(1, 1, 10)]
+
+
+def test_p_values_against_known_ones(spark):
+    """Values from published tables of the distributions."""
+    from colloquy.operators import pvalues as P
+
+    one = spark.range(1)
+    got = one.select(P.normal_p(F.lit(1.959964)).alias("z"), P.student_p(F.lit(2.228139), F.lit(10)).alias("even"), P.student_p(F.lit(3.182446), F.lit(3)).alias("odd"), P.student_p(F.lit(12.7062), F.lit(1)).alias("one"), P.t_quantile(1.959963984540054, F.lit(30.0)).alias("q")).first()
+    assert all(abs(got[k] - 0.05) < 1e-5 for k in ("z", "even", "odd", "one")) and abs(got.q - 2.042272) < 1e-4
+    tea = spark.createDataFrame([(1, 3, 1, 1, 3), (2, 8, 2, 1, 5), (3, 0, 4, 0, 4)], "k int, a long, b long, c long, d long")
+    p = {r.k: r.p for r in P.fisher(tea, "a", "b", "c", "d", "k").collect()}
+    assert abs(p[1] - 0.4857142857) < 1e-9 and abs(p[2] - 0.0349650) < 1e-6 and p[3] == 1
+
+
+def test_running_order_over_many_ranges(spark):
+    from colloquy.operators import ordering as O
+
+    rows = spark.createDataFrame([(k * 37 % 101, k) for k in range(101)], "x int, y int").repartition(7)
+    assert sorted((r.x, r.nth) for r in O.numbered(rows, "x").collect()) == [(k, k) for k in range(101)]
+    assert O.numbered(rows.limit(0), "x").count() == 0
+    assert sorted(r.x for r in O.shard(rows, 2, 10, "x").collect()) == list(range(2, 101, 10))
+    assert [r.x for r in O.sliced(rows, ["x"], 5, 10, 3).collect()] == [5, 6, 7]
+
+
+def test_asserted_lookup_fails_on_a_missing_entry(spark):
+    from colloquy.operators import reshape
+
+    rows, entries = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "a")], "k int, v string")
+    assert reshape.asserted_lookup(rows.where("k = 1"), entries, ["k"], "v").collect()[0].v == "a"
+    with pytest.raises(Exception, match="no v for 2"):
+        reshape.asserted_lookup(rows, entries, ["k"], "v").collect()
