@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,3 +39,47 @@ def contained(left: DataFrame, right: DataFrame, *by: str) -> DataFrame:
     r = right.select(*by, F.col("id").alias("right_id"), F.col("text").alias("__t"))
     pairs = left.where("text <> ''").join(r, list(by)).where(F.contains("__t", "text"))
     return pairs.groupBy(*by, "id").agg(F.min("right_id").alias("right_id"), F.count("*").alias("__n")).where("__n = 1").drop("__n")
+
+
+def aligned_lines(left: DataFrame, right: DataFrame, by: str, order: str, text: str) -> DataFrame:
+    """Lines of two texts of the same ``by`` that longest matching blocks align: ``by, left_line, right_line``.
+
+    A pair of texts is one task's; its lines are bounded by the longest text.
+    """
+
+    def align(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values(order), b.sort_values(order)
+        matcher = difflib.SequenceMatcher(None, a[text].tolist(), b[text].tolist(), autojunk=False)
+        rows = [(key[0], int(a[order].iloc[m.a + k]), int(b[order].iloc[m.b + k])) for m in matcher.get_matching_blocks() for k in range(m.size)]
+        return pd.DataFrame(rows, columns=[by, "left_line", "right_line"])
+
+    pick = lambda d: d.select(by, order, text).groupBy(by)
+    return pick(left).cogroup(pick(right)).applyInPandas(align, f"{by} long, left_line long, right_line long")
+
+
+def fuzzy_clusters(rows: DataFrame, by: str, key: str, text: str, least: float) -> DataFrame:
+    """``by, key, representative``: each text joins the first earlier representative of a similarity ratio of ``least``.
+
+    Greedy in the order of the key, so a group of ``by`` is one task's; equal texts are compared once.
+    """
+
+    def cluster(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        known: dict[str, int] = {}
+        representatives: list[tuple[int, str]] = []
+        out = []
+        for k, t in sorted(zip(pdf[key], pdf[text].fillna(""))):
+            if t not in known:
+                matcher = difflib.SequenceMatcher(None, b=t, autojunk=False)
+                for r, other in representatives:
+                    matcher.set_seq1(other)
+                    if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least and matcher.ratio() >= least:
+                        known[t] = r
+                        break
+                else:
+                    known[t] = k
+                    representatives.append((k, t))
+            out.append((group[0], k, known[t]))
+        return pd.DataFrame(out, columns=[by, key, "representative"])
+
+    kind = rows.schema[by].dataType.simpleString()
+    return rows.select(by, key, text).groupBy(by).applyInPandas(cluster, f"{by} {kind}, {key} long, representative long")

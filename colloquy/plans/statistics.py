@@ -64,8 +64,9 @@ def correlations_p(spark, d):
     a = H.ranked(m, "value", "condition").withColumnRenamed("rank", "a")
     both = H.ranked(a, "n", "condition")
     got = both.groupBy("condition").agg(F.count("*").alias("n"), F.corr("a", "rank").alias("rho"), F.corr("value", F.col("n").cast("double")).alias("r"))
-    p = lambda r, name: F.round(P.correlation_p(F.col(r), F.col("n")), 5).alias(name)
-    return got.select("condition", "n", F.round("rho", 6).alias("rho"), p("rho", "rho_p"), F.round("r", 6).alias("r"), p("r", "r_p"))
+    # p first: inside a lambda, a rounded column of the same select would stand for its unrounded namesake.
+    got = got.withColumn("rho_p", P.correlation_p(F.col("rho"), F.col("n"))).withColumn("r_p", P.correlation_p(F.col("r"), F.col("n")))
+    return got.select("condition", "n", *r6("rho", "r"), F.round("rho_p", 5).alias("rho_p"), F.round("r_p", 5).alias("r_p"))
 
 
 FISHER = f"""{SPANS}, f as (select condition, conv, count(*) filter (where label = 'error') * 6 > count(*) as hit from spans group by all), o as (select count(*) filter (where condition = 'c0' and hit) as a, count(*) filter (where condition = 'c0' and not hit) as b from f),

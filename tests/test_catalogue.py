@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from colloquy.plans import catalogue, records, statistics, texts  # noqa: F401 - register their queries
+from colloquy.plans import catalogue, models, records, statistics, texts  # noqa: F401 - register their queries
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

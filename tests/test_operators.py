@@ -209,3 +209,57 @@ def test_asserted_lookup_fails_on_a_missing_entry(spark):
     assert reshape.asserted_lookup(rows.where("k = 1"), entries, ["k"], "v").collect()[0].v == "a"
     with pytest.raises(Exception, match="no v for 2"):
         reshape.asserted_lookup(rows, entries, ["k"], "v").collect()
+
+
+def test_best_path_equals_enumeration():
+    import itertools
+
+    import numpy as np
+
+    from colloquy.operators.phases import _best_path
+
+    start, trans, emit = np.log([0.6, 0.4]), np.log([[0.7, 0.3], [0.4, 0.6]]), {"a": np.log([0.5, 0.1]), "b": np.log([0.5, 0.9])}
+    for word in itertools.product("ab", repeat=5):
+        def score(path):
+            return start[path[0]] + sum(emit[s][q] for s, q in zip(word, path)) + sum(trans[p, q] for p, q in zip(path, path[1:]))
+
+        best = _best_path(list(word), start, trans, emit)
+        assert abs(score(best) - max(score(p) for p in itertools.product((0, 1), repeat=5))) < 1e-9
+    assert _best_path([], start, trans, emit) == []
+
+
+def test_masking(spark):
+    from colloquy.operators import masking as M
+
+    rows = spark.createDataFrame([(1, "Anna met Ann. Annabel", "met  Ann."), (2, None, "x"), (3, "", "")], "c int, t string, n string")
+    got = {r.c: r.s for r in rows.select("c", M.tolerant_span(F.col("t"), F.col("n")).alias("s")).collect()}
+    assert (got[1].start, got[1].end) == (5, 13) and got[2] is None and got[3] is None
+    seeds = spark.createDataFrame([(1, "Ann"), (1, "Anna")], "c int, name string")
+    masked = {r.c: (r.t, r.n_masked) for r in M.masked_consistently(rows, seeds, "c", "[X]", "t").collect()}
+    assert masked == {1: ("[X] met [X]. Annabel", 2), 2: (None, 0), 3: ("", 0)}
+    with pytest.raises(Exception, match="occurs 2 times"):
+        spark.createDataFrame([("{a} {a}",)], "t string").select(M.spliced(F.col("t"), "{a}", F.lit("x"))).collect()
+
+
+def test_sinks_resume_and_guard(spark, tmp_path):
+    from colloquy.sources import files, sinks
+
+    rows, path = spark.createDataFrame([(k, f"t{k}") for k in range(5)], "k int, t string"), str(tmp_path / "out")
+    for most in (2, 5, 5):
+        sinks.resumable_append(rows.where(F.col("k") < most), path, ["k"])
+    assert sorted(r.k for r in files.jsonl(spark, path, "k int, t string").collect()) == [0, 1, 2, 3, 4]
+    guarded = str(tmp_path / "table")
+    for n in (1, 3):
+        sinks.guarded_rewrite(rows.limit(n), guarded, primary=True)
+    assert spark.read.parquet(sinks.current(spark, guarded)).count() == 3
+    with pytest.raises(ValueError):
+        sinks.guarded_rewrite(rows, guarded, primary=False)
+
+
+def test_fuzzy_clusters_and_alignment(spark):
+    from colloquy.operators import textjoins as T
+
+    rows = spark.createDataFrame([("s", 1, "the cat sat on the mat"), ("s", 2, "the cat sat on a mat"), ("s", 3, "nothing like it"), ("s", 4, "the cat sat on the mat"), ("r", 5, None)], "s string, k long, t string")
+    assert {r.k: r.representative for r in T.fuzzy_clusters(rows, "s", "k", "t", 0.85).collect()} == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5}
+    line = lambda ws: spark.createDataFrame([(1, k, w) for k, w in enumerate(ws)], "p long, k long, t string")
+    assert sorted(tuple(r) for r in T.aligned_lines(line("abcd"), line("xbcy"), "p", "k", "t").collect()) == [(1, 1, 1), (1, 2, 2)]
