@@ -182,29 +182,17 @@ def word_evidence(text: str | None, model: LanguageModel) -> tuple[int, float, f
     return n, total, squares
 
 
-def surprise(text: Column | str, lang: Column | str, model: LanguageModel) -> Column:
-    """By how many deviations a text's words are less likely than those of the learned texts of ``lang``; null without words.
+def _surprise(text: str | None, lang: str, model: LanguageModel) -> float | None:
+    """By how many deviations a text's words are less likely than those of the learned texts of ``lang``; None without words.
 
     It does not depend on how the other languages do, so texts of languages that were never learned stand out.
     The deviation is that between texts and, for short texts, between words.
     """
-
-    @pandas_udf("double")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known = dict(zip(model.languages, model.evidence))
-        for texts, langs in batches:
-            out = []
-            for t, one in zip(texts, langs):
-                n, total, _ = word_evidence(t, model) if one in known else (0, 0.0, 0.0)
-                if n:
-                    mean, between, within = known[one]
-                    out.append((mean - total / n) / (between**2 + within**2 / n) ** 0.5)
-                else:
-                    out.append(None)
-            yield pd.Series(out, dtype="float64")
-        give_back()
-
-    return run(text, lang)
+    if lang not in model.languages:
+        return None
+    n, total, _ = word_evidence(text, model)
+    mean, between, within = model.evidence[model.languages.index(lang)]
+    return (mean - total / n) / (between**2 + within**2 / n) ** 0.5 if n else None
 
 
 def _words(text: str, model: LanguageModel) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -221,28 +209,34 @@ def _words(text: str, model: LanguageModel) -> Iterator[tuple[np.ndarray, np.nda
         start = end
 
 
-def predictor(model: LanguageModel):
-    """A pandas UDF from a text to ``struct<lang, score, n_languages>``."""
-
-    @pandas_udf("lang string, score double, n_languages int")
+def _predicted(texts: list[str], model: LanguageModel) -> list[tuple[str, float, int]]:
+    """Language, score and size of the language set of each text, by runs of about SLICE code points."""
+    out: list[tuple[str, float, int]] = []
+    start = 0
+    while start < len(texts):
+        step, size = start, 0
+        while step < len(texts) and (step == start or size + len(texts[step]) <= SLICE):
+            size += len(texts[step])
+            step += 1
+        for p, s, n in zip(*infer(texts[start:step], model)):
+            top = int(p.argmax()) if n else -1
+            out.append((model.languages[top], min(1.0, max(0.0, float(p[top]))), int(s)) if n else (UNDETERMINED, 0.0, int(s)))
+        start = step
+    return out
+
+
+def predictor(model: LanguageModel, judged: bool = False):
+    """A pandas UDF from a text to ``struct<lang, score, n_languages>``; ``judged`` adds ``surprise`` (:func:`_surprise`)."""
+
+    @pandas_udf("lang string, score double, n_languages int" + (", surprise double" if judged else ""))
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            langs, scores, sets = [], [], []
             texts = ["" if t is None else t for t in batch]
-            step, start = 0, 0
-            while start < len(texts):  # runs of documents of about SLICE code points
-                step, size = start, 0
-                while step < len(texts) and (step == start or size + len(texts[step]) <= SLICE):
-                    size += len(texts[step])
-                    step += 1
-                pi, sizes, words = infer(texts[start:step], model)
-                for p, s, n in zip(pi, sizes, words):
-                    top = int(p.argmax()) if n else -1
-                    langs.append(model.languages[top] if n else UNDETERMINED)
-                    scores.append(min(1.0, max(0.0, float(p[top]))) if n else 0.0)
-                    sets.append(int(s))
-                start = step
-            yield pd.DataFrame({"lang": langs, "score": scores, "n_languages": np.array(sets, np.int32)})
+            got = _predicted(texts, model)
+            frame = pd.DataFrame(got, columns=["lang", "score", "n_languages"]).astype({"score": float, "n_languages": "int32"})
+            if judged:
+                frame["surprise"] = pd.Series([_surprise(t, g[0], model) for t, g in zip(texts, got)], dtype="float64")
+            yield frame
         give_back()
 
     return predict
@@ -250,3 +244,8 @@ def predictor(model: LanguageModel):
 
 def predict(text: Column | str, model: LanguageModel) -> Column:
     return predictor(model)(text)
+
+
+def judge(text: Column | str, model: LanguageModel) -> Column:
+    """The prediction and its surprise in one pass over the texts, so by one Python worker a task."""
+    return predictor(model, True)(text)
