@@ -25,8 +25,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and blank texts go; ties, repeated rows and null ids are judged by their text alone; an empty table stays so.
     """
     model = queries.language_model(spark, sf_dir)
-    found = _beside(docs, langid.predict("text", model).alias("l")).where(f"l.lang <> '{langid.UNDETERMINED}'")
-    return found.withColumn("s", langid.surprise("row.text", "l.lang", model)).where(f"s < {SURPRISE}").select("row.*")
+    found = _beside(docs, langid.judge("text", model).alias("l"))
+    return found.where(f"l.lang <> '{langid.UNDETERMINED}' and l.surprise < {SURPRISE}").select("row.*")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
