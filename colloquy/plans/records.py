@@ -12,8 +12,6 @@ from colloquy.operators import sequences as S
 from colloquy.plans.catalogue import SPANS, TR, query, r6
 from colloquy.sources.tables import spans, table
 
-BY_TIME = Window.partitionBy("conv").orderBy("ts", "span")
-
 
 # -- projections and filters ------------------------------------------------------------------------------
 
@@ -278,7 +276,7 @@ def compliance_shares(spark, d):
 @query(f"{SPANS}, r as (select condition, value / 100 as conf, label = lag(label) over (partition by conv order by ts, span) as again from spans), m as (select condition, avg(coalesce(again, false)::int) as repeated, avg(conf) as conf from r group by 1) select condition, round(repeated, 6) as repeated, round(conf, 6) as confidence, round(2 * (1 - repeated) * conf / (1 - repeated + conf), 6) as score from m")
 def repeat_confidence(spark, d):
     """The rate at which a label repeats the one before, mean confidence, and the harmonic mean of both."""
-    again = F.coalesce(F.col("label") == F.lag("label").over(BY_TIME), F.lit(False)).cast("int")
+    again = F.coalesce(F.col("label") == F.lag("label").over(Window.partitionBy("conv").orderBy("ts", "span")), F.lit(False)).cast("int")
     m = spans(spark, d).select("condition", (F.col("value") / 100).alias("conf"), again.alias("again")).groupBy("condition").agg(F.avg("again").alias("repeated"), F.avg("conf").alias("confidence"))
     fresh = 1 - F.col("repeated")
     return m.withColumn("score", F.round(2 * fresh * F.col("confidence") / (fresh + F.col("confidence")), 6)).select("condition", *r6("repeated", "confidence"), "score")
