@@ -106,6 +106,11 @@ def fingerprint(text: Column | str) -> Column:
     return run(text)
 
 
+def whole(k: str) -> list[Column]:
+    """An id without nulls, and whether it was null: pandas turns integers beside nulls into doubles, which round ids above 2**53."""
+    return [F.coalesce(k, F.lit(0)).alias("k"), F.col(k).isNull().alias("unset")]
+
+
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str]]:
     """Rows ``bucket, own, k, tie, t`` dealt out by ranges of the key, sorted, each range followed by the next one's first row.
 
@@ -126,15 +131,15 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple
     before = {b: filled[i - 1] for i, b in enumerate(filled)}
 
     @pandas_udf("array<int>")
-    def buckets(k: pd.Series) -> pd.Series:
+    def buckets(k: pd.Series, unset: pd.Series) -> pd.Series:
         out = []
-        for b, v in zip(np.where(k.isna(), 0, np.searchsorted(np.array(borders), k.fillna(0).to_numpy(np.float64), side="right")), k):
-            same = (pd.isna(v) and first[b] is None) or (first[b] is not None and v == first[b])
+        for b, v, null in zip(np.where(unset, 0, np.searchsorted(np.array(borders), k.to_numpy(np.float64), side="right")), k, unset):
+            same = null if first[b] is None else not null and v == first[b]
             out.append([int(b), int(before[b])] if same else [int(b)])
         return pd.Series(out)
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(text, F.lit("")).alias("t"))
-    rows = rows.select("k", "t", F.xxhash64("t").alias("tie"), F.posexplode(buckets("k")).alias("foreign", "bucket"))
+    rows = rows.select("k", "t", F.xxhash64("t").alias("tie"), F.posexplode(buckets(*whole("k"))).alias("foreign", "bucket"))
     return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "foreign", "k", "tie")
 
 
@@ -156,16 +161,16 @@ def fingerprints_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "t
                 k, n, sha, own, f, g, near = one(*held, after)
                 return k, n, sha, f, g, near, lanes_likeness(own, vector(after))
 
-            for b, foreign, k, t in zip(batch["bucket"], batch["foreign"], batch["k"], batch["t"]):
+            for b, foreign, k, unset, t in zip(batch["bucket"], batch["foreign"], batch["k"], batch["unset"], batch["t"]):
                 if b != at:
                     at, held = b, None
                 if held is not None:
                     out.append(close(t))
-                held = None if foreign else (None if pd.isna(k) else int(k), t)
+                held = None if foreign else (None if unset else int(k), t)
             if not out:
                 continue
-            frame = pd.DataFrame(out, columns=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
-            yield frame.astype({"doc_id": "Int64"})
+            ids, *rest = zip(*out)
+            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64")} | dict(zip(["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"], rest)))
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, key, text).select("bucket", "foreign", "k", "t").mapInPandas(run, schema)
+    return with_next(docs, key, text).select("bucket", "foreign", *whole("k"), "t").mapInPandas(run, schema)

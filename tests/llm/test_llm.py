@@ -356,6 +356,12 @@ def test_fingerprints_with_edits(spark):
         h = len(t) // 2
         assert got[d].edited_sha256 == hashlib.sha256((t[: len(t) - h] + after[:h]).encode()).hexdigest() and got[d].n_chars == len(t)
     assert fingerprint.fingerprints_with_edits(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).first().near_next == 1.0
+    # ids that doubles would round stay whole beside a null id, which comes first
+    far = [(None, "first")] + [((1 << 60) + k, f"text {k} of several") for k in range(40)]
+    got = {r.doc_id: r.edited_sha256 for r in fingerprint.fingerprints_with_edits(spark.createDataFrame(far, "doc_id long, text string").repartition(3)).collect()}
+    for (k, t), (_, after) in zip(far, far[1:] + far[:1]):
+        h = len(t) // 2
+        assert got[k] == hashlib.sha256((t[: len(t) - h] + after[:h]).encode()).hexdigest()
     assert fingerprint.fingerprints_with_edits(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert fingerprint.fingerprints_with_edits(edge(spark)).count() == len(EDGE)
 
