@@ -112,7 +112,7 @@ def whole(k: str) -> list[Column]:
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[str]]:
-    """Rows ``bucket, own, k, tie, t`` dealt out by ranges of the key, sorted, each range followed by the next one's first row.
+    """Rows ``bucket, own, k, tie, t`` dealt out by ranges of the key, sorted, each range in a partition of its own and followed by the next one's first row.
 
     Only the range borders (one number a shuffle partition) come to the driver.  The first row of a range is
     sent to its own and to the preceding range, that of the first range to the last.
@@ -140,7 +140,7 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(text, F.lit("")).alias("t"))
     rows = rows.select("k", "t", F.xxhash64("t").alias("tie"), F.posexplode(buckets(*whole("k"))).alias("foreign", "bucket"))
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "foreign", "k", "tie")
+    return rows.repartitionById(n, "bucket").sortWithinPartitions("bucket", "foreign", "k", "tie")
 
 
 def fingerprints_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
