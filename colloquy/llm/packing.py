@@ -120,17 +120,19 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # One row a partition and length in it: as the input is sorted, at most partitions + capacity rows.
     counts = sorted(ranged.groupBy("length", "part").agg(F.count("*").alias("n")).collect())
     total: dict[int, int] = {}
-    base: dict[tuple[int, int], int] = {}
-    for length, part, n in counts:
-        base[part, length] = total.get(length, 0)
-        total[length] = base[part, length] + n
+    before = np.zeros(len(counts), np.int64)
+    for k, (length, _, n) in enumerate(counts):
+        before[k] = total.get(length, 0)
+        total[length] = total.get(length, 0) + n
+    groups = np.array([length << 32 | part for length, part, _ in counts], np.int64)
     rounds = plan(total, capacity)
     starts = rounds[:, 0] << 44 | rounds[:, 1] if len(rounds) else np.zeros(0, np.int64)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rank = batch["nth"].to_numpy() + np.array([base[k] for k in zip(batch["part"], batch["length"])], np.int64)
-            at = np.searchsorted(starts, batch["length"].to_numpy() << 44 | rank, side="right") - 1
+            length = batch["length"].to_numpy()
+            rank = batch["nth"].to_numpy() + before[np.searchsorted(groups, length << 32 | batch["part"].to_numpy(np.int64))]
+            at = np.searchsorted(starts, length << 44 | rank, side="right") - 1
             yield batch.drop(columns=["part", "nth"]).assign(sequence_id=rounds[at, 2] + rank - rounds[at, 1], offset=rounds[at, 3])
 
     return ranged.mapInPandas(place, PACKED)
