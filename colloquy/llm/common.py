@@ -15,13 +15,14 @@ BLANKS = " \t\n\x0b\x0c\r"
 SPLIT_BLANKS = r"[\x20\x09-\x0D]+"
 
 
-#: Rows of an Arrow batch: texts are long, and a Python worker holds a batch several times over.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch, at most: texts, sets and blocks of sets are long, and a Python worker holds a batch several times over.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the given folder; sets the session's Arrow batches to BATCH_ROWS, which bounds the workers' memory."""
+    """A table of the given folder; bounds the session's Arrow batches, and by that the workers' memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
