@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import chat, fingerprint, html_extract, jaccard, langid, licenses, mixing, packing, quality, toxicity
+from colloquy.llm import chat, fingerprint, html_extract, jaccard, langid, licenses, mixing, oracles, packing, quality, toxicity
 from colloquy.llm.common import fold, table
 
 #: Domains of the labelled table and the shares of all tokens that the mixture gives them.
@@ -88,4 +88,5 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_html_extraction, op3_language_id, op4_best_fit_packing, op5_license_scan, op6_quality_rules, op7_fingerprint, op8_chat_format, op9_mixing, op10_ngram_jaccard)}
-ORACLE_SQL: dict[str, str] = {}
+#: The others need trained models, a tokenizer, the fingerprint's or the window's own form; tests hold them against brute force.
+ORACLE_SQL = oracles.ORACLE_SQL
