@@ -10,7 +10,7 @@ from colloquy.operators import masking as M
 from colloquy.operators import phases as PH
 from colloquy.operators import textjoins as T
 from colloquy.plans.catalogue import EMIT, SPANS, START, TRANS, query, r6
-from colloquy.sources import files, sinks
+from colloquy.sources import files, office, sinks
 from colloquy.sources.scratch import folder
 from colloquy.sources.tables import spans, table
 
@@ -294,3 +294,27 @@ def guarded_rewrite(spark, d):
     for _ in range(2):
         sinks.guarded_rewrite(_counts(spark, d), path, primary=True)
     return spark.read.parquet(sinks.current(spark, path))
+
+
+# -- workbooks and text documents -------------------------------------------------------------------------
+
+
+@query("""select sheet, n_nationkey as nation, n_name as name, case when n_regionkey > 0 then n_name || ' <&> "ü"' end as note from nation, (values ('labelled'), ('plain')) v(sheet)""")
+def workbook_scan(spark, d):
+    """Two sheets of a workbook; in one of them a row of labels stands below the names, and is found by its key."""
+    note = F.when(F.col("n_regionkey") > 0, F.concat("n_name", F.lit(' <&> "ü"')))
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("CASE"), F.col("n_name").alias("name"), note.alias("note"))
+    labels = spark.createDataFrame([("number", "name of the nation", None)], rows.schema)
+    path = office.workbook({"labelled": labels.union(rows), "plain": rows}, f"{folder(spark)}.xlsx")
+    read = [office.sheet(spark, path, s, ["CASE", "name", "note"], "CASE", s == "labelled").select(F.lit(s).alias("sheet"), F.col("CASE").cast("long").alias("nation"), "name", "note") for s in ("labelled", "plain")]
+    return read[0].unionByName(read[1])
+
+
+@query("select n_regionkey::bigint as region, (row_number() over (partition by n_regionkey order by n_nationkey) - 1)::int as place, n_name as text from nation")
+def document_paragraphs(spark, d):
+    """A folder of text documents, one a region, with a paragraph a nation and blank ones between."""
+    base = folder(spark)
+    regions = table(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("n"))
+    for r in regions.collect():  # one file a region, of a handful
+        office.document(spark, [t for n in r["n"] for t in (n["n_name"], " ")], f"{base}/{r['n_regionkey']}.docx")
+    return office.paragraphs(spark, base).select(F.regexp_extract("file", r"(\d+)\.docx$", 1).cast("long").alias("region"), "place", "text")

@@ -263,3 +263,23 @@ def test_fuzzy_clusters_and_alignment(spark):
     assert {r.k: r.representative for r in T.fuzzy_clusters(rows, "s", "k", "t", 0.85).collect()} == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5}
     line = lambda ws: spark.createDataFrame([(1, k, w) for k, w in enumerate(ws)], "p long, k long, t string")
     assert sorted(tuple(r) for r in T.aligned_lines(line("abcd"), line("xbcy"), "p", "k", "t").collect()) == [(1, 1, 1), (1, 2, 2)]
+
+
+def test_workbook_with_shared_strings_and_gaps(spark, tmp_path):
+    """Shared and rich strings, cells that are left out, and a workbook without the sheet."""
+    import zipfile
+
+    from colloquy.sources import office
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    link = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    for file, sheet in (("a", "S"), ("b", "T")):
+        with zipfile.ZipFile(tmp_path / f"{file}.xlsx", "w") as z:
+            z.writestr("xl/workbook.xml", f'<workbook {ns} {link}><sheets><sheet name="{sheet}" r:id="r7"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r7" Target="/xl/worksheets/x.xml"/></Relationships>')
+            z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>CASE</t></si><si><r><t>no</t></r><r><t>te</t></r><rPh><t>-</t></rPh></si></sst>")
+            z.writestr("xl/worksheets/x.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="AB1" t="s"><v>1</v></c></row><row><c r="A2"><v>3</v></c><c r="AB2"><v>4.5</v></c></row><row/><row><c r="AB4" t="str"><v>x</v></c></row></sheetData></worksheet>')
+    got = office.sheet(spark, str(tmp_path), "S", ["CASE", "note", "none"], "CASE").collect()
+    assert [(r.place, r.CASE, r.note, r.none) for r in got] == [(0, "3", "4.5", None), (2, None, "x", None)]
+    with pytest.raises(Exception, match="unlike declared"):
+        office.sheet(spark, str(tmp_path), "S", ["CASE"], "CASE", labelled=True).collect()
