@@ -20,9 +20,9 @@ def jsonl_append(rows: DataFrame, path: str) -> str:
 
 
 def json_arrays(rows: DataFrame, path: str) -> str:
-    """JSON documents, each the array of one partition's records."""
+    """JSON documents, each the array of one partition's records, in a file of its own, as readers take one document a file."""
     records = rows.select(F.to_json(F.struct(*rows.columns)).alias("r"), F.spark_partition_id().alias("p"))
-    records.groupBy("p").agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("r")), F.lit("]")).alias("value")).select("value").write.text(path)
+    records.groupBy("p").agg(F.concat(F.lit("["), F.concat_ws(",", F.collect_list("r")), F.lit("]")).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(path)
     return path
 
 
