@@ -13,15 +13,23 @@ from pyspark.sql.functions import pandas_udf
 
 
 def tolerant_span(text: Column, needle: Column) -> Column:
-    """Where ``needle`` first lies in ``text`` if runs of blanks count as one: struct ``start, end``; null if nowhere."""
+    """Where ``needle`` first lies in ``text`` if runs of blanks count as one: struct ``start, end``; null if nowhere.
+
+    Blanks that a needle begins or ends with belong to the span, at most as many as the needle has there.
+    """
+
+    def pattern(n: str) -> str:
+        bare = n.strip()
+        lead, trail = (len(n) - len(n.lstrip()), len(n) - len(n.rstrip())) if bare else (len(n), 0)
+        outer = [rf"\s{{1,{k}}}" if k else "" for k in (lead, trail)]
+        return outer[0] + r"\s+".join(map(re.escape, n.split())) + outer[1]
 
     @pandas_udf("start int, end int")
     def locate(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, needles in batches:
             out = []
             for t, n in zip(texts, needles):
-                parts = [re.escape(x) for x in (n or "").split()]
-                m = re.search(r"\s+".join(parts), t or "") if parts else None
+                m = re.search(pattern(n), t or "") if n else None
                 out.append((m.start(), m.end()) if m else (None, None))
             yield pd.DataFrame(out, columns=["start", "end"]).astype("Int32")
 
