@@ -1,13 +1,17 @@
 """Licence scans by a trained paragraph classifier.
 
-A multinomial logistic regression over hashed word one- and two-grams is fitted on notices of licence families
+A multinomial logistic regression over word one- and two-grams of phrases is fitted on notices of licence families
 (templates: whole, cut, and with words left out; and usual phrases around the licences' names) against an unknown
-class: paragraphs of a bounded sample of the corpus, and phrases that speak of the same names without granting
+class: all sentences of the corpus that match no family, and phrases that speak of the same names without granting
 anything.  The unit of classification is a paragraph's sentence; neighbours of one family are one notice.  The most
 probable family stands if the probability of a licence passes a threshold, at which at most FALSE_RATE of held-out
 unknown sentences pass.  Comparison with the family's own templates then confirms or rejects it (enough of a
 template's adjacent word pairs are in the notice, or a phrase names the licence); it never names another family.
 
+Every sentence of the corpus counts, in the fit or, with every other profile, in the threshold: sentences are summed
+up by profile (their grams that a phrase has, and the number of all their grams), profiles are packed into blocks, and
+each step of the fit sums the blocks' gradients.  Grams that no phrase has only dilute the others.
+
 Defined results: null and empty texts have no licence (empty list); a text may have several; repeated rows
 get equal results; an empty table gives none; a corpus without texts is scanned with the phrases alone as unknown
 class.  Texts are scanned whole.
@@ -26,11 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from colloquy.llm.common import at_most, give_back
+from colloquy.llm.common import give_back, written
 
-#: Documents, and sentences of them, that the unknown class is fitted on, at most (in expectation).
-FIT_DOCS, FIT_SENTENCES = 400, 20_000
-BITS, EPOCHS, CONFIRM, FALSE_RATE = 14, 80, 0.5, 1e-3
+#: Sentences of either half of the corpus weigh as much as so many, together, beside the phrases.
+UNKNOWN_WEIGHT = 10_000
+#: Profiles of a block, about; and those that a task sums up before it hands them on.
+BLOCK, HELD = 50_000, 200_000
+EPOCHS, CONFIRM, FALSE_RATE = 80, 0.5, 1e-3
 #: Usual names and wordings of licences, by family.
 NAMES: dict[str, tuple[str, ...]] = {
     "apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license", "Apache-2.0"),
@@ -79,6 +85,24 @@ _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 _SENTENCE = re.compile(r"\n+|(?<=[.!?;])\s+(?=[^\W\d_a-z])")
 
 
+@dataclass(frozen=True)
+class Templates:
+    """The adjacent word pairs of the families' templates and names; a name of one word is that word."""
+
+    families: list[int]
+    sizes: list[int]
+    #: The templates that a gram is in.
+    having: dict[int, list[int]]
+
+    def confirmed(self, grams: list[int]) -> set[int]:
+        """The families of which a template or name is among the grams, by a share of CONFIRM."""
+        found: dict[int, int] = {}
+        for g in grams:
+            for t in self.having.get(g, ()):
+                found[t] = found.get(t, 0) + 1
+        return {self.families[t] for t, n in found.items() if n >= CONFIRM * self.sizes[t]}
+
+
 @dataclass(frozen=True)
 class LicenceModel:
     families: tuple[str, ...]
@@ -86,59 +110,155 @@ class LicenceModel:
     threshold: float
     #: Words of all phrases; without one of them a sentence has no feature of a licence.
     words: frozenset[str]
-    pairs: dict[str, list[frozenset]] = field(compare=False)
+    #: The number of each gram (word, or pair of words) of a phrase.
+    index: dict = field(compare=False)
+    templates: Templates = field(compare=False)
 
 
 def _words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
-def _grams(words: list[str]) -> np.ndarray:
-    return np.unique([zlib.crc32(" ".join(g).encode("utf-8", "surrogatepass")) & ((1 << BITS) - 1) for g in [*((w,) for w in words), *zip(words, words[1:])]])
+def _profile(words: list[str], index: dict) -> tuple[list[int], int]:
+    """The numbers of the grams that a phrase has, sorted, and the number of all different grams."""
+    singles, pairs = set(words), set(zip(words, words[1:]))
+    known = [index[g] for g in singles if g in index]
+    known += [index[g] for g in pairs if g in index]
+    known.sort()
+    return known, len(singles) + len(pairs)
 
 
-def _probabilities(grams: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    z = weights[grams].sum(axis=0) / np.sqrt(max(1, len(grams))) + weights[-1]
-    z = np.exp(z - z.max())
-    return z / z.sum()
+def _pack(profiles: list[tuple[list[int], int]], n: list[float]) -> tuple[np.ndarray, ...]:
+    """Numbers of grams on end, grams known and grams in all of each profile, and its weight."""
+    at = [x for known, _ in profiles for x in known]
+    return np.array(at, "<i2"), np.array([len(known) for known, _ in profiles], "<i4"), np.array([size for _, size in profiles], "<i4"), np.array(n, "<f8")
 
 
-def _pairs() -> dict[str, list[frozenset]]:
-    """The adjacent word pairs of each family's templates and names; a name of one word is that word."""
-    out = {}
-    for f, names in NAMES.items():
-        own = [_words(t) for t in (*names, *TEMPLATES.get(f, ()))]
-        out[f] = [frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset(w) for w in own]
-    return out
+def _probabilities(block: tuple[np.ndarray, ...], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each profile and family; and the row, number and value of each gram."""
+    at, known, size, _ = block
+    row, at = np.repeat(np.arange(len(known)), known), at.astype(np.int64)
+    value = (1 / np.sqrt(np.maximum(size, 1)))[row]
+    z = np.stack([np.bincount(row, weights[at, k] * value, len(known)) for k in range(weights.shape[1])], axis=1) + weights[-1]
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    return z / z.sum(axis=1, keepdims=True), row, at, value
 
 
-def _match(words: list[str], pairs: list[frozenset]) -> float:
-    """The largest share of a template or name of the family that is in the words."""
-    have = frozenset(zip(words, words[1:])) | frozenset(words)
-    return max(len(have & t) / len(t) for t in pairs)
+def _slope(block: tuple[np.ndarray, ...], truth: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The gradient of a block's log loss."""
+    p, row, at, value = _probabilities(block, weights)
+    p[np.arange(len(truth)), truth] -= 1
+    p *= block[3][:, None]
+    slope = np.empty_like(weights)
+    for k in range(weights.shape[1]):
+        slope[:-1, k] = np.bincount(at, p[row, k] * value, len(weights) - 1)
+    slope[-1] = p.sum(axis=0)
+    return slope
 
 
-def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int = FIT_DOCS) -> LicenceModel:
-    """Fit on the phrases and about ``sample`` documents, and FIT_SENTENCES of their sentences (documented bounds)."""
-    pairs = _pairs()
-    vocabulary = frozenset(w for phrases in (*NAMES.values(), *TEMPLATES.values(), GRANTS) for t in phrases for w in _words(t))
-    picked = at_most(docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null"), sample, "licences", "k").select("t")
+def _index() -> tuple[dict, Templates]:
+    """Every gram of a phrase by its number, and the families' templates in these numbers."""
+    phrases = [g.format(n) for ns in NAMES.values() for n in ns for g in (*GRANTS, *TALK)] + [t for ts in TEMPLATES.values() for t in ts]
+    grams: set = set()
+    for words in map(_words, dict.fromkeys(phrases)):
+        grams.update(words, zip(words, words[1:]))
+    index = {g: k for k, g in enumerate(sorted(grams, key=lambda g: (isinstance(g, tuple), g)))}
+    templates = Templates([], [], {})
+    for k, (f, names) in enumerate(NAMES.items()):
+        for words in map(_words, (*names, *TEMPLATES.get(f, ()))):
+            own = frozenset(zip(words, words[1:])) if len(words) > 1 else frozenset(words)
+            for g in own:
+                templates.having.setdefault(index[g], []).append(len(templates.sizes))
+            templates.families.append(k)
+            templates.sizes.append(len(own))
+    return index, templates
+
+
+def profiles(docs: DataFrame, text: str, vocabulary: frozenset[str], index: dict, templates: Templates) -> DataFrame:
+    """``half, at, size, n``: the profiles of all sentences that match no family (what does not look like a licence is unknown).
+
+    Sentences without a word of a phrase never reach the classifier, and are none of its classes.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict[tuple[bytes, int], int] = {}
+
+        def out() -> pd.DataFrame:
+            rows = [(zlib.crc32(at, size) & 1, at, size, n) for (at, size), n in found.items()]
+            found.clear()
+            return pd.DataFrame(rows, columns=["half", "at", "size", "n"])
 
-    def unknown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Features of the sentences that match no family: what does not look like a licence is unknown."""
         for f in batches:
-            rows = []
             for t in f["t"]:
                 for s in _SENTENCE.split(t):
                     words = _words(s)
-                    if words and max(_match(words, p) for p in pairs.values()) < CONFIRM:
-                        rows.append((zlib.crc32(" ".join(words).encode("utf-8", "surrogatepass")), _grams(words).astype("<i2").tobytes()))
-            if rows:
-                yield pd.DataFrame(rows, columns=["order", "at"])
-
-    # The sentences least in hash order: a sample of all, packed.
-    got = picked.mapInPandas(unknown, "order long, at binary").distinct().orderBy("order", "at").limit(FIT_SENTENCES).collect()
-    held_out = [np.frombuffer(bytes(r["at"]), "<i2").astype(np.int64) for r in got]
+                    if not words or vocabulary.isdisjoint(words):
+                        continue
+                    known, size = _profile(words, index)
+                    if not templates.confirmed(known):
+                        key = np.array(known, "<i2").tobytes(), size
+                        found[key] = found.get(key, 0) + 1
+                if len(found) > HELD:
+                    yield out()
+        if found:
+            yield out()
+        give_back()
+
+    rows = docs.select(F.col(text).alias("t")).where("t is not null").mapInPandas(count, "half int, at binary, size int, n long")
+    return written(rows.groupBy("half", "at", "size").agg(F.sum("n").alias("n")))
+
+
+def blocks(found: DataFrame) -> DataFrame:
+    """The profiles as ``half, block`` and the arrays of ``_pack``, about BLOCK a row; the same for any order and layout of the rows."""
+    parts = found.count() // BLOCK + 1
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def out(key: tuple, rows: list[tuple[bytes, int, int]]) -> pd.DataFrame:
+            at, size, n = zip(*rows)
+            known = np.array([len(x) // 2 for x in at], "<i4")
+            return pd.DataFrame([(*key, b"".join(at), known.tobytes(), np.array(size, "<i4").tobytes(), np.array(n, "<f8").tobytes())], columns=["half", "block", "at", "known", "size", "n"])
+
+        last, rows = None, []
+        for f in batches:
+            for half, block, at, size, n in zip(f["half"].tolist(), f["block"].tolist(), f["at"], f["size"].tolist(), f["n"].tolist()):
+                if last != (half, block):
+                    if rows:
+                        yield out(last, rows)
+                    last, rows = (half, block), []
+                rows.append((bytes(at), size, n))
+        if rows:
+            yield out(last, rows)
+
+    dealt = found.withColumn("block", F.pmod(F.xxhash64("at", "size"), F.lit(parts)).cast("int")).repartition(parts, "block")
+    sorted_ = dealt.sortWithinPartitions("half", "block", "at", "size").select("half", "block", "at", "size", "n")
+    return written(sorted_.mapInPandas(pack, "half int, block int, at binary, known binary, size binary, n binary"))
+
+
+def _arrays(row) -> tuple[np.ndarray, ...]:
+    return tuple(np.frombuffer(bytes(row[c]), kind) for c, kind in (("at", "<i2"), ("known", "<i4"), ("size", "<i4"), ("n", "<f8")))
+
+
+def fit(docs: DataFrame, text: str = "text") -> LicenceModel:
+    """Fit on the phrases and on the sentences of all documents; one half of their profiles is held out for the threshold."""
+    vocabulary = frozenset(w for phrases in (*NAMES.values(), *TEMPLATES.values(), GRANTS) for t in phrases for w in _words(t))
+    index, templates = _index()
+    packed = blocks(profiles(docs, text, vocabulary, index, templates))
+    totals = {r["half"]: r["n"] for r in packed.select("half", F.length("size").alias("n")).groupBy("half").agg(F.sum("n").alias("n")).collect()}
+    alone = sum(totals.values()) <= 4 * BLOCK  # so few profiles need no tasks
+    here = sorted(packed.collect(), key=lambda r: (r["half"], r["block"])) if alone else []
+
+    def each(half: int, task) -> list[bytes]:
+        """What ``task`` makes of each block of the half, in the order of the blocks."""
+        if alone:
+            return [task(_arrays(r)).tobytes() for r in here if r["half"] == half]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in batches:
+                yield pd.DataFrame([(r["block"], task(_arrays(r)).tobytes()) for r in f.to_dict("records")], columns=["block", "x"])
+
+        got = packed.where(F.col("half") == half).select("block", "at", "known", "size", "n").mapInPandas(run, "block int, x binary").collect()
+        return [bytes(r["x"]) for r in sorted(got, key=lambda r: r["block"])]
+
     families = (*NAMES, UNKNOWN)
     names = [n for ns in NAMES.values() for n in ns]
     random = np.random.Generator(np.random.PCG64(11))
@@ -157,27 +277,31 @@ def fit(docs: DataFrame, text: str = "text", key: str = "doc_id", sample: int =
     talk = [_words(t.format(n)) for t in TALK for n in (names if "{}" in t else names[:1])]
     bag = sorted(vocabulary)
     talk += [[bag[i] for i in random.integers(0, len(bag), random.integers(2, 8))] for _ in range(200)]
-    grams = [_grams(w) for w, _ in examples] + [_grams(w) for w in talk[::2]] + held_out[::2]
-    truth = np.array([y for _, y in examples] + [len(NAMES)] * (len(grams) - len(examples)))
-    size = np.array([len(g) for g in grams])
-    row, at = np.repeat(np.arange(len(grams)), size), np.concatenate(grams).astype(np.int64)
-    w = np.zeros(((1 << BITS) + 1, len(families)))
+    known = _pack([_profile(w, index) for w in [*(w for w, _ in examples), *talk[::2]]], [1.0] * (len(examples) + len(talk[::2])))
+    truth = np.array([y for _, y in examples] + [len(NAMES)] * len(talk[::2]))
+    sentences = [sum(np.frombuffer(x)[0] for x in each(half, lambda b: b[3].sum(keepdims=True))) for half in (0, 1)]
+    share = [min(1.0, UNKNOWN_WEIGHT / max(n, 1)) for n in sentences]
+    w = np.zeros((len(index) + 1, len(families)))
     scale = np.zeros_like(w)
-    value = (1 / np.sqrt(np.maximum(size, 1)))[row]
     for _ in range(EPOCHS):
-        z = np.stack([np.bincount(row, w[at, k] * value, len(grams)) for k in range(len(families))], axis=1) + w[-1]
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        error = p - np.eye(len(families))[truth]
-        slope = np.zeros_like(w)
-        for k in range(len(families)):
-            slope[:-1, k] = np.bincount(at, error[row, k] * value, 1 << BITS)
-        slope[-1] = error.sum(axis=0)
+        slope = _slope(known, truth, w)
+        for x in each(0, lambda b, w=w: _slope(b, np.full(len(b[3]), len(NAMES)), w)):
+            slope += share[0] * np.frombuffer(x).reshape(w.shape)
         scale += slope**2
-        w -= 0.5 * slope / (np.sqrt(scale) + 1e-8)
-    calm = [*(_grams(x) for x in talk[1::2]), *held_out[1::2]]
-    passing = sorted((float(1 - _probabilities(g, w)[-1]) for g in calm), reverse=True)
-    return LicenceModel(families, w.astype(np.float32), max(0.5, passing[int(FALSE_RATE * len(passing))]), vocabulary, pairs)
+        w = w - 0.5 * slope / (np.sqrt(scale) + 1e-8)
+
+    def passing(b: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Probability of a licence and weight, where it could pass."""
+        licence = 1 - _probabilities(b, w)[0][:, -1]
+        return np.stack([licence, b[3]], axis=1)[licence >= 0.5]
+
+    calm = _pack([_profile(x, index) for x in talk[1::2]], [1.0] * len(talk[1::2]))
+    found = [passing(calm), *(np.frombuffer(x).reshape(-1, 2) * [1, share[1]] for x in each(1, passing))]
+    high = np.concatenate(found)
+    high = high[np.argsort(-high[:, 0], kind="stable")]
+    too_many = high[np.cumsum(high[:, 1]) > FALSE_RATE * (len(calm[3]) + share[1] * sentences[1]), 0]
+    threshold = float(np.nextafter(too_many[0], 2)) if len(too_many) else 0.5
+    return LicenceModel(families, w, threshold, vocabulary, index, templates)
 
 
 def find(text: str | None, model: LicenceModel) -> list[tuple[str, float, int, int]]:
@@ -191,10 +315,15 @@ def find(text: str | None, model: LicenceModel) -> list[tuple[str, float, int, i
         if not words or model.words.isdisjoint(words):  # no feature of a licence: the unknown class
             last = False
             continue
-        p = _probabilities(_grams(words), model.weights)
-        family = model.families[int(p[:-1].argmax())]
-        licence = float(1 - p[-1])
-        if licence < model.threshold or _match(words, model.pairs[family]) < CONFIRM:
+        profile = _profile(words, model.index)
+        confirmed = model.templates.confirmed(profile[0])
+        if not confirmed:  # whatever family is the most probable
+            last = False
+            continue
+        p = _probabilities(_pack([profile], [1.0]), model.weights)[0][0]
+        k = int(p[:-1].argmax())
+        family, licence = model.families[k], float(1 - p[-1])
+        if licence < model.threshold or k not in confirmed:
             last = False
         elif last and out[-1][0] == family:
             out[-1] = (family, max(licence, out[-1][1]), out[-1][2], end)
@@ -216,6 +345,6 @@ def scanner(model: LicenceModel):
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", model: LicenceModel | None = None) -> DataFrame:
     """``doc_id, families`` (sorted, distinct), ``n_notices`` and ``notices`` with spans."""
-    found: Column = scanner(model or fit(docs, text, key))(text)
+    found: Column = scanner(model or fit(docs, text))(text)
     rows = docs.select(F.col(key).alias("doc_id"), found.alias("notices"))
     return rows.select("doc_id", F.array_sort(F.array_distinct(F.col("notices.family"))).alias("families"), F.size("notices").cast("long").alias("n_notices"), "notices")

@@ -1,6 +1,7 @@
 """The corpus operators against brute force, exact round trips and edge cases."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -290,6 +291,30 @@ def test_licence_query_finds_planted_notices(spark):
     assert got == {r.doc_id: {f for f, phrase in plain.items() if phrase in (r.text or "")} for r in docs}
 
 
+def test_licence_fit_counts_every_document(spark, monkeypatch):
+    """Every sentence of more documents than a sample would have is counted; any document tells in the model, and blocks do not."""
+    draw = random.Random(5)
+    bag = sorted({w for phrases in (*licenses.TEMPLATES.values(), licenses.GRANTS) for t in phrases for w in licenses._words(t)})
+    texts = [" ".join("A " + " ".join(draw.choice(bag) for _ in range(draw.randint(2, 7))) + "." for _ in range(8)) for _ in range(1000)] + [None, "", "Released under the MIT License."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    index, templates = licenses._index()
+    vocabulary = frozenset(bag)
+    wanted = defaultdict(int)
+    for t in texts:
+        for s in licenses._SENTENCE.split(t or ""):
+            grams = {*(w := licenses._words(s)), *zip(w, w[1:])}
+            known = sorted(index[g] for g in grams if g in index)
+            if not vocabulary.isdisjoint(w) and not templates.confirmed(known):
+                wanted[tuple(known), len(grams)] += 1
+    got = {(tuple(np.frombuffer(bytes(r["at"]), "<i2").tolist()), r["size"]): r["n"] for r in licenses.profiles(docs, "text", vocabulary, index, templates).collect()}
+    assert got == wanted and sum(got.values()) > 7000
+    model = licenses.fit(docs)
+    assert all(not np.array_equal(licenses.fit(docs.where(f"doc_id <> {k}")).weights, model.weights) for k in (3, 999))
+    monkeypatch.setattr(licenses, "BLOCK", 900)  # now tasks sum the gradients
+    dealt = licenses.fit(docs)
+    assert np.allclose(dealt.weights, model.weights) and abs(dealt.threshold - model.threshold) < 1e-9
+
+
 # -- quality ----------------------------------------------------------------------------------------------
 
 
