@@ -51,6 +51,8 @@ FREQUENT = 24
 #: Bits of the smallest parity bitmap; larger sets have as many bits as shingles, rounded up to a power of two.
 BITMAP = 512
 SEEN = 1 << 25
+#: Bytes of a text that are worked on at once.
+SLICE = 1 << 20
 #: Hashed orders in which neighbours of an index list are compared in the first round.
 ORDERS = 3
 #: Nodes of a list from which on it is compared by blocks, and of a list's share in a round of neighbours.
@@ -85,21 +87,37 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def _words(data: bytes) -> np.ndarray:
+    """The hashes of a text's words, slice by slice; a word that a slice cuts goes on in the next."""
+    values, sizes, cut = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], False
+    for at in range(0, len(data), SLICE):
+        raw = np.frombuffer(data, np.uint8, min(SLICE, len(data) - at), at)
+        blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
+        raw = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
+        edge = np.diff(np.concatenate([[True], blank, [True]]).view(np.int8))
+        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        power, inverse = _power_tables(len(raw))
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=total[1:])
+        value, size = (total[end] - total[start]) * inverse[start], (end - start).astype(np.uint64)
+        if cut and not blank[0]:
+            values[-1][-1:] += value[:1] * np.uint64(pow(int(_BASE), int(sizes[-1][-1]), 1 << 64))
+            sizes[-1][-1:] += size[:1]
+            value, size = value[1:], size[1:]
+        cut = not blank[-1]
+        if len(value):
+            values.append(value)
+            sizes.append(size)
+    return _mix(np.concatenate(values) + np.concatenate(sizes))
+
+
 def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of a text's word ``n``-grams; A-Z are lower-cased, words end at blanks."""
     if not text:
         return np.zeros(0, np.uint64)
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    blank = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    raw = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
-    edge = np.diff(np.concatenate([[True], blank, [True]]).view(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(start):
+    words = _words(text.encode("utf-8", "surrogatepass"))
+    if not len(words):
         return np.zeros(0, np.uint64)
-    power, inverse = _power_tables(len(raw))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=total[1:])
-    words = _mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
     k = min(n, len(words))
     grams = np.zeros(len(words) - k + 1, np.uint64)
     for i in range(k):

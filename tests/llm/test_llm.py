@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -498,6 +499,26 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, frequent, edges):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
+def test_shingles_of_long_texts_in_bounded_memory(monkeypatch):
+    rng = random.Random(8)
+    for text in ("", " ", "a", " Ab\tc ", "x" * 40, *("".join(rng.choice("aB é\n") for _ in range(60)) for _ in range(50))):
+        whole = jaccard.shingles(text)
+        for size in (1, 2, 7):
+            with monkeypatch.context() as m:
+                m.setattr(jaccard, "SLICE", size, raising=False)
+                assert jaccard.shingles(text).tolist() == whole.tolist()
+        words = re.findall(r"[^\x20\x09-\x0D]+", text.replace("B", "b"))
+        assert len(whole) == len({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else ())
+    long = " ".join("w" * 15 + str(k) for k in range(400_000))  # 8 MB
+    monkeypatch.setattr(jaccard, "_powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+    tracemalloc.start()
+    try:
+        assert len(jaccard.shingles(long)) == 400_000 - 4
+        assert tracemalloc.get_traced_memory()[1] < 20 * len(long)
+    finally:
+        tracemalloc.stop()
+
+
 def test_jaccard_edges(spark):
     got = jaccard.join(edge(spark)).collect()
     assert len(got) == len(EDGE) and {r.component_id for r in got if r.doc_id in (1, 2, 3)} == {1, 2, 3} and all(r.n_shingles == 0 for r in got if r.doc_id in (1, 2, 3))
