@@ -233,6 +233,19 @@ def features(text: str | None, model: ToxicityModel) -> np.ndarray:
     return np.log1p(x)
 
 
+def _tokens(rows: DataFrame) -> DataFrame:
+    """``y, w`` of each document's distinct words."""
+    return rows.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("w"))
+
+
+def _counts(tokens: DataFrame) -> DataFrame:
+    """``stem, w, toxic, all`` of words (stem 0) and of stems, each once for each word that it begins; the texts are read once."""
+    form = lambda stem, w: F.struct(F.lit(stem).alias("stem"), w.alias("w"))
+    stems = F.transform(F.sequence(F.lit(STEM[0]), F.lit(STEM[1])), lambda n: form(1, F.when(F.length("w") > n, F.substring("w", F.lit(1), n))))
+    forms = tokens.select("y", F.explode(F.concat(F.array(form(0, F.col("w"))), stems)).alias("f")).where("f.w is not null").select("y", "f.stem", "f.w")
+    return forms.groupBy("stem", "w").agg(F.sum("y").alias("toxic"), F.count("*").alias("all"))
+
+
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sample: int = FIT_DOCS) -> ToxicityModel:
     """Learn from rows with a label 0 or 1; at most about ``sample`` documents (documented bound)."""
     rows = labelled.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y"), F.col(key).alias("k")).where("t is not null and y in (0, 1)")
@@ -242,12 +255,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
         return ToxicityModel()
 
     # Each document's distinct words and stems, counted by class; only those few that are frequent and lean to one side return.
-    words = F.array_distinct(F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
-    tokens = rows.select("y", F.explode(words).alias("w"))
-    as_word = tokens.select("y", F.lit(0).alias("stem"), "w")
-    as_stem = tokens.select("y", F.lit(1).alias("stem"), F.explode(F.transform(F.sequence(F.lit(STEM[0]), F.lit(STEM[1])), lambda n: F.when(F.length("w") > n, F.substring("w", F.lit(1), n)))).alias("w")).where("w is not null")
-    # A stem counts once for each word that it begins.
-    counts = as_word.unionByName(as_stem).groupBy("stem", "w").agg(F.sum("y").alias("toxic"), F.count("*").alias("all"))
+    tokens = _tokens(rows)
+    counts = _counts(tokens)
     lean = F.log((F.col("toxic") + 0.1) / (n[1] + 1)) - F.log((F.col("all") - F.col("toxic") + 0.1) / (n[0] + 1))
     terms = counts.where(f"toxic >= {MIN_DOCS}").withColumn("lean", lean).where("lean > 3.5").orderBy(F.desc(F.col("lean") * F.sqrt("toxic")), "w").limit(10 * MAX_TERMS).collect()
     chosen, kept = [t for t in terms if t["stem"] == 0][:MAX_TERMS], []
@@ -264,7 +273,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str
             if len(near):
                 yield near
 
-    clean = as_word.where("y = 0").select("w").distinct().mapInPandas(reach, "w string")
+    clean = tokens.where("y = 0").select("w").distinct().mapInPandas(reach, "w string")
     model = ToxicityModel(model.words, model.stems, frozenset(r["w"] for r in clean.collect()))
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
